@@ -7,18 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import mixing, quality, sharding
+from tilequarry.llm import bpe, lm, mixing, quality, sharding, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every document."""
+    return lm.score(_docs(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.taken(_docs(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages leave of every document."""
+    return suffix.dedup(_docs(spark, sf_dir), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    import public_tokenizers as tokenizers
+
+    return bpe.encode(_docs(spark, sf_dir), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base verdict and verdict of every document."""
     return quality.rules(_docs(spark, sf_dir)).drop("q_class_distance", "q_word_distance")
@@ -31,7 +48,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
