@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequarry.llm import bpe, lm, mixing, quality, sharding, suffix
+from tilequarry.llm import ann, bpe, lm, mixing, neardup, pii, quality, sharding, suffix, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +24,32 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_docs(spark, sf_dir))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document."""
+    return neardup.dedup(_docs(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated passages leave of every document."""
     return suffix.dedup(_docs(spark, sf_dir), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every query vector."""
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, a digest of their spans, and all spans, of every document."""
+    own = pii.find(_docs(spark, sf_dir))
+    return own.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     import public_tokenizers as tokenizers
@@ -50,7 +71,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_neighbours": op5_neighbours,
+    "op6_toxicity": op6_toxicity,
+    "op7_personal_data": op7_personal_data,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
