@@ -36,8 +36,8 @@ def _left(text: Column, others: str) -> Column:
 def counted(docs: DataFrame) -> DataFrame:
     """Add _t (text), _w (words) and the two histograms, _classes and _common, of every document.
 
-    The words' histogram ends with the count of all other words. Counting goes by what
-    array_remove takes away, which needs no function call per word.
+    The words' histogram ends with the count of all other words, capitalised ones among them.
+    Counting goes by what array_remove takes away, over the few common words of a text alone.
     """
     df = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit(""))).withColumn("_w", native.words(F.col("_t")))
     df = df.withColumn("_chars", F.length("_t").cast("long")).withColumn("_word_chars", F.length(F.array_join("_w", "")).cast("long"))
@@ -47,17 +47,17 @@ def counted(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_known", F.array(upper, digit, mark, symbol, wide, F.col("_chars") - F.col("_word_chars")))
     rest = F.col("_chars") - F.aggregate("_known", F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumn("_classes", F.concat("_known", F.array(rest)))
-    df = df.withColumn("_hits", F.filter(F.split(F.lower(F.col("_t")), f"[{native.BLANKS}]+"), lambda w: w.isin(VOCABULARY)))
-    found = [(F.size("_hits") - F.size(F.array_remove("_hits", w))).cast("long") for w in VOCABULARY]
-    return df.withColumn("_common", F.concat(F.array(*found), F.array((F.size("_w") - F.size("_hits")).cast("long"))))
+    df = df.withColumn("_hits", F.filter("_w", lambda w: w.isin(VOCABULARY)))
+    found = F.transform(F.array(*map(F.lit, VOCABULARY)), lambda w: (F.size("_hits") - F.size(F.array_remove("_hits", w))).cast("long"))
+    return df.withColumn("_common", F.concat(found, F.array((F.size("_w") - F.size("_hits")).cast("long"))))
 
 
 def references(docs: DataFrame) -> DataFrame:
     """Summed histograms of each language's documents of MIN_WORDS or more words: lang, classes, common."""
     own = counted(docs.select(F.col("lang").cast("string").alias("lang"), "text")).where(F.size("_w") >= MIN_WORDS)
-    sums = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
-    by = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= MIN_REFERENCE)
-    return by.select(F.col("lang").alias("_lang"), F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("_ref_classes"), F.array(*[f"w{i}" for i in range(len(VOCABULARY) + 1)]).alias("_ref_common"))
+    bins = own.select("lang", F.posexplode(F.concat("_classes", "_common"))).groupBy("lang", "pos").agg(F.sum("col").alias("total"), F.count(F.lit(1)).alias("n"))
+    by = bins.where(F.col("n") >= MIN_REFERENCE).groupBy(F.col("lang").alias("_lang")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"]).alias("_all"))
+    return by.select("_lang", F.slice("_all", 1, len(CLASSES)).alias("_ref_classes"), F.slice("_all", len(CLASSES) + 1, len(VOCABULARY) + 1).alias("_ref_common"))
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -76,9 +76,14 @@ def _repeated(df: DataFrame) -> DataFrame:
     n = F.size("_w")
     df = df.withColumn("_grams", F.when(n >= 3, F.transform(F.slice("_w", 1, F.greatest(n - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn("_any", F.size(F.array_distinct("_grams")) < F.size("_grams"))
-    df = df.withColumn("_sorted", F.when(F.col("_any"), F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(F.array().cast("array<struct<g:bigint,i:int>>")))
+    none, pairs = F.array().cast("array<bigint>"), "array<struct<g:bigint,i:int>>"
+    df = df.withColumn("_s", F.when(F.col("_any"), F.sort_array("_grams")).otherwise(none))
+    df = df.withColumn("_dups", F.array_distinct(F.filter("_s", lambda g, i: F.coalesce(F.get("_s", i - 1) == g, F.lit(False)))))
+    many = F.size("_dups") > 256  # then looking each window up in a list would be quadratic
+    df = df.withColumn("_sorted", F.when(many, F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(F.array().cast(pairs)))
     same = lambda e, i: F.coalesce(F.get("_sorted", i - 1)["g"] == e["g"], F.lit(False)) | F.coalesce(F.get("_sorted", i + 1)["g"] == e["g"], F.lit(False))
-    df = df.withColumn("_twice", F.sort_array(F.transform(F.filter("_sorted", same), lambda e: e["i"])))
+    looked = F.filter(F.transform("_grams", lambda g, i: F.when(F.array_contains("_dups", g), i)), lambda i: i.isNotNull())
+    df = df.withColumn("_twice", F.when(many, F.sort_array(F.transform(F.filter("_sorted", same), lambda e: e["i"]))).when(F.size("_dups") > 0, looked).otherwise(F.array().cast("array<int>")))
     cover = F.transform("_twice", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_twice", i + 1) - x, F.lit(3))))
     return df.withColumn("_repeat", F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x))
 
