@@ -62,8 +62,13 @@ def unsteps(data: bytes, width: int) -> np.ndarray:
 
 
 def ranges(df: DataFrame) -> int:
-    """How many hash ranges suit ``df``: a power of two that follows the size that the optimizer knows."""
+    """How many hash ranges suit ``df``: a power of two that follows the size that the optimizer knows.
+
+    Where it knows none (it then says exabytes), the session's shuffle partitions count.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 55:
+        size = RANGE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = 8
     while n < min(1 << 16, size // RANGE):
         n *= 2
@@ -134,3 +139,14 @@ def grouped(df: DataFrame, key: str, fn: Callable[[int, pa.Table], Iterable[tupl
         return pa.Table.from_batches(batches(fn(table.column(key)[0].as_py(), table), to), to)
 
     return df.groupBy(key).applyInArrow(run, schema)
+
+
+def met(one: DataFrame, other: DataFrame, key: str, fn: Callable[[int, pa.Table, pa.Table], Iterable[tuple]], schema: str) -> DataFrame:
+    """Apply fn(key, rows of one, rows of other) to every key of ``one``."""
+    to = arrow(schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows = fn(a.column(key)[0].as_py(), a, b) if a.num_rows else ()
+        return pa.Table.from_batches(batches(rows, to), to)
+
+    return one.groupBy(key).cogroup(other.groupBy(key)).applyInArrow(run, schema)

@@ -122,10 +122,10 @@ def _encoded(path: str, pattern: str):
 
 
 def _assembled(path: str, pattern: str, outputs: tuple[str, ...]):
-    def assemble(block: int, table: pa.Table) -> Iterator[tuple]:
+    def assemble(block: int, table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
         token_bytes = _tools(path, pattern)[2]
-        rows = dict(zip(table.column("part").to_pylist(), table.column("data"), strict=True))
-        payload = blocks.opened(rows.pop(-1).as_py())
+        rows = dict(zip(answers.column("part").to_pylist(), answers.column("data"), strict=True))
+        payload = blocks.opened(table.column("data")[0].as_py())
         order = blocks.unplanes(payload["order"], payload["width"]).astype(np.int64)
         words: list[list[int]] = [[]] * len(order)
         at = 0
@@ -170,10 +170,10 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: Iterable[str] = ("
     """
     outputs = tuple(outputs)
     parts = blocks.ranges(docs)
-    stored = scratch.store(blocks.scanned(docs, _packed(path, pattern, parts), "block bigint, part int, data binary"), "bpe")
+    stored = scratch.dealt(blocks.scanned(docs, _packed(path, pattern, parts), "block bigint, part int, data binary"), "block", parts)
     answers = blocks.grouped(stored.where(F.col("part") >= 0), "part", _encoded(path, pattern), "block bigint, part int, data binary")
     schema = ", ".join(["doc_id bigint", *(f"{name} {OUTPUTS[name]}" for name in outputs)])
-    return blocks.grouped(stored.where(F.col("part") < 0).unionByName(answers), "block", _assembled(path, pattern, outputs), schema)
+    return blocks.met(stored.where(F.col("part") < 0), answers, "block", _assembled(path, pattern, outputs), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -32,3 +32,11 @@ def store(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table of the warehouse, dealt by ``key``: a join or grouping by it moves no row of it again."""
+    spark = df.sparkSession
+    name = f"tilequarry_{uuid.uuid4().hex}"
+    df.write.bucketBy(min(buckets, 100_000), key).option("compression", "none").saveAsTable(name)
+    return spark.table(name)
