@@ -89,8 +89,8 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 8 << 20) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def scanned(docs: DataFrame, fn: Callable[[int, list, list[bytes]], Iterable[tuple]], schema: str) -> DataFrame:
-    """Apply fn(block, ids, texts) to blocks of docs(doc_id, text); a null text is empty.
+def scanned(docs: DataFrame, fn: Callable[[int, list, list[bytes]], Iterable[tuple]], schema: str, limit: int = BLOCK) -> DataFrame:
+    """Apply fn(block, ids, texts) to blocks of docs(doc_id, text), closed at ``limit`` bytes; a null text is empty.
 
     Block numbers are unique in the result, which must be stored before it is read twice.
     """
@@ -110,7 +110,7 @@ def scanned(docs: DataFrame, fn: Callable[[int, list, list[bytes]], Iterable[tup
                     ids.append(doc_id)
                     texts.append(text.as_py() or b"")
                     size += len(texts[-1])
-                    if size >= BLOCK:
+                    if size >= limit:
                         yield from fn(block, ids, texts)
                         block, ids, texts, size = block + 1, [], [], 0
             if ids:

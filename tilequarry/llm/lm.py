@@ -21,6 +21,8 @@ FOLDS = 10
 ADDED, PRIOR = 0.1, 10.0
 #: Counts are held as powers of RATIO; bits and probes for each entry.
 RATIO, BITS, PROBES = 1.6, 12, 5
+#: Bytes of text in a block.
+BLOCK = 12 << 20
 #: Largest filter that is broadcast; beyond it, probes travel to the filter's segments.
 MAX_BROADCAST = 256 << 20
 
@@ -91,11 +93,21 @@ def segment(words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.nd
 class Filter:
     """Segments of the filter by hash range."""
 
-    def __init__(self, segments: dict[int, bytes], parts: int):
-        order = [segments.get(p, b"\0" * 8) for p in range(parts)]
-        self.data = np.frombuffer(b"".join(order), np.uint8)
-        sizes = np.array([len(x) for x in order], np.int64)
-        self.bits, self.start = (sizes * 8).astype(_U), np.concatenate(([0], np.cumsum(sizes)))[:-1] * 8
+    def __init__(self, segments: dict[int, bytes] | tuple, parts: int):
+        """``segments`` by range, or all of them as (bytes, range -> start and length), which are used in place."""
+        if isinstance(segments, dict):
+            data, places = bytearray(), {}
+            for part, bits in segments.items():
+                places[part] = (len(data), len(bits))
+                data += bits
+        else:
+            data, places = segments
+        self.data = np.frombuffer(data, np.uint8) if len(data) else np.zeros(8, np.uint8)
+        self.start, self.bits = np.zeros(parts, np.int64), np.zeros(parts, _U)
+        for part, (start, size) in places.items():
+            self.start[part], self.bits[part] = start * 8, size * 8
+        self.there = self.bits > 0
+        self.bits[~self.there] = 1
         self.shift = 64 - (parts.bit_length() - 1)
         self.parts = parts
 
@@ -103,7 +115,7 @@ class Filter:
         """The level of each key: probes for level 1, 2, ... until one misses."""
         out = np.zeros(len(keys), np.int64)
         part = (keys >> _U(self.shift)).astype(np.int64) if self.parts > 1 else np.zeros(len(keys), np.int64)
-        live, q = np.arange(len(keys)), 1
+        live, q = np.flatnonzero(self.there[part]), 1
         while len(live) and q < len(DECODED):
             there = part[live]
             on = np.ones(len(live), bool)
@@ -116,13 +128,35 @@ class Filter:
         return out
 
 
+def slices(texts: list[bytes], limit: int = 2 << 20) -> Iterator[slice]:
+    """Runs of texts of about ``limit`` bytes, which bound the arrays of a worker."""
+    low = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= limit:
+            yield slice(low, i + 1)
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield slice(low, len(texts))
+
+
+def _merged(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*tallies, strict=True))
+    return textnum.tally(keys, counts)
+
+
 def _gathered(parts: int):
     def gather(block: int, ids: list, texts: list[bytes]) -> Iterator[tuple]:
-        keys, at, before = sequence(texts)
         train = np.array([not held_out(i) for i in ids])
-        of = np.repeat(train, np.diff(at))
-        words, n = textnum.tally(keys, of.astype(np.int64))
-        grams, times = textnum.tally(pairs(before[of], keys[of]))
+        some_words, some_grams = [], []
+        for run in slices(texts):
+            keys, at, before = sequence(texts[run])
+            of = np.repeat(train[run], np.diff(at))
+            some_words.append(textnum.tally(keys, of.astype(np.int64)))
+            some_grams.append(textnum.tally(pairs(before[of], keys[of])))
+        words, n = _merged(some_words)
+        grams, times = _merged(some_grams)
+        del some_words, some_grams
         wb, gb = textnum.bounds(words, parts).tolist() + [len(words)], textnum.bounds(grams, parts).tolist() + [len(grams)]
         for p in range(parts):
             w, g = slice(wb[p], wb[p + 1]), slice(gb[p], gb[p + 1])
@@ -148,8 +182,13 @@ def _counted(part: int, table: pa.Table) -> Iterator[tuple]:
 
 def _asked(parts: int):
     def ask(block: int, part: int, data: bytes) -> Iterator[tuple]:
-        keys, _, before = sequence(blocks.opened(data)[1])
-        found = [textnum.tally(keys)[0], textnum.tally(pairs(before, keys))[0]]
+        texts = blocks.opened(data)[1]
+        own: tuple[list, list] = ([], [])
+        for run in slices(texts):
+            keys, _, before = sequence(texts[run])
+            own[0].append(textnum.tally(keys)[0])
+            own[1].append(textnum.tally(pairs(before, keys))[0])
+        found = [textnum.tally(np.concatenate(x))[0] for x in own]
         cuts = [textnum.bounds(x, parts).tolist() + [len(x)] for x in found]
         for p in range(parts):
             yield block, p, blocks.shut([x[c[p] : c[p + 1]] for x, c in zip(found, cuts, strict=True)])
@@ -160,7 +199,7 @@ def _asked(parts: int):
 def _probed(parts: int):
     def probe(part: int, table: pa.Table) -> Iterator[tuple]:
         rows = list(zip(table.column("block").to_pylist(), table.column("data"), strict=True))
-        own = Filter({part: next((d.as_py() for b, d in rows if b < 0), b"\0" * 8)}, parts)
+        own = Filter({part: next((d.as_py() for b, d in rows if b < 0), b"")}, parts)
         for block, data in rows:
             if block >= 0:
                 yield block, parts + part, blocks.shut([own.levels(x, tag) for tag, x in enumerate(blocks.opened(data.as_py()))])
@@ -169,30 +208,33 @@ def _probed(parts: int):
 
 
 def _scored(parts: int, total: int, types: int, texts_n: int, sent):
-    def score(block: int, table: pa.Table) -> Iterator[tuple]:
-        rows = dict(zip(table.column("part").to_pylist(), table.column("data"), strict=True))
-        ids, texts = blocks.opened(rows.pop(-1).as_py())
-        keys, at, before = sequence(texts)
-        known, place = np.unique(keys, return_inverse=True)
-        grams, gram_place = np.unique(pairs(before, keys), return_inverse=True)
+    def score(block: int, table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+        rows = dict(zip(answers.column("part").to_pylist(), answers.column("data"), strict=True))
+        ids, texts = blocks.opened(table.column("data")[0].as_py())
+        known = textnum.tally(np.concatenate([textnum.tally(sequence(texts[run])[0])[0] for run in slices(texts)]))[0]
         exact = np.concatenate([blocks.unplanes(blocks.opened(rows[p].as_py()), 6) for p in sorted(rows) if p < parts]).astype(np.float64)
         if sent is None:
+            all_grams = textnum.tally(np.concatenate([textnum.tally(pairs(*sequence(texts[run])[2::-2]))[0] for run in slices(texts)]))[0]
             probed = [blocks.opened(rows[p].as_py()) for p in sorted(rows) if p >= parts]
             word_level, gram_level = (np.concatenate([x[tag] for x in probed]) for tag in (0, 1))
         else:
-            model = Filter(dict(sent.value), parts)
-            word_level, gram_level = model.levels(known, 0), model.levels(grams, 1)
+            model = Filter(sent.value, parts)
+            word_level = model.levels(known, 0)
         mass = total + ADDED * (types + 1)
-        base = np.log10((exact + ADDED) / mass)[place]
-        count = DECODED[word_level]
-        context = np.empty(len(keys))
-        context[1:] = count[place[:-1]]
-        context[at[:-1]] = texts_n
-        alone = ((count + ADDED) / mass)[place]
-        p = (np.minimum(DECODED[gram_level][gram_place], context) + PRIOR * alone) / (context + PRIOR)
-        sums = [np.add.reduceat(x, at[:-1]).tolist() for x in (base, np.log10(p), (exact > 0)[place].astype(np.int64))]
-        for i, (doc_id, n) in enumerate(zip(ids, np.diff(at).tolist(), strict=True)):
-            yield doc_id, held_out(doc_id), n, sums[2][i], total, sums[0][i], sums[1][i]
+        base, seen, count = np.log10((exact + ADDED) / mass), (exact > 0).astype(np.int64), DECODED[word_level]
+        for run in slices(texts):
+            keys, at, before = sequence(texts[run])
+            place = np.searchsorted(known, keys)
+            grams, gram_place = np.unique(pairs(before, keys), return_inverse=True)
+            level = model.levels(grams, 1) if sent is not None else gram_level[np.searchsorted(all_grams, grams)]
+            context = np.empty(len(keys))
+            context[1:] = count[place[:-1]]
+            context[at[:-1]] = texts_n
+            alone = ((count + ADDED) / mass)[place]
+            p = (np.minimum(DECODED[level][gram_place], context) + PRIOR * alone) / (context + PRIOR)
+            sums = [np.add.reduceat(x, at[:-1]).tolist() for x in (base[place], np.log10(p), seen[place])]
+            for i, (doc_id, n) in enumerate(zip(ids[run], np.diff(at).tolist(), strict=True)):
+                yield doc_id, held_out(doc_id), n, sums[2][i], total, sums[0][i], sums[1][i]
 
     return score
 
@@ -212,18 +254,23 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """
     parts = blocks.ranges(docs)
     rows = "block bigint, part int, data binary"
-    stored = scratch.store(blocks.scanned(docs, _gathered(parts), rows + ", texts bigint"), "lm")
+    stored = scratch.dealt(blocks.scanned(docs, _gathered(parts), rows + ", texts bigint", BLOCK), "block", parts)
     counted = scratch.store(blocks.grouped(stored.where(F.col("part") >= 0), "part", _counted, rows + ", tokens bigint, types bigint"), "counts")
     texts = stored.where(F.col("part") < 0)
     segments = counted.where(F.col("block") < 0)
     total, types, size = segments.agg(F.sum("tokens"), F.sum("types"), F.sum(F.octet_length("data"))).first()
     texts_n = texts.agg(F.sum("texts")).first()[0] or 0
-    met = texts.select("block", "part", "data").unionByName(counted.where(F.col("block") >= 0).select("block", "part", "data"))
+    answers = counted.where(F.col("block") >= 0).select("block", "part", "data")
     if (size or 0) <= max_broadcast:
-        sent = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in segments.select("part", "data").toLocalIterator()])
+        data, places = bytearray(), {}
+        for part, bits in segments.select("part", "data").toLocalIterator():
+            places[part] = (len(data), len(bits))
+            data += bits
+        sent = docs.sparkSession.sparkContext.broadcast((data, places))
+        del data
     else:
         sent = None
         probes = blocks.mapped(texts.select("block", "part", "data"), _asked(parts), rows).unionByName(segments.select("block", "part", "data"))
-        met = met.unionByName(blocks.grouped(probes, "part", _probed(parts), rows))
+        answers = answers.unionByName(blocks.grouped(probes, "part", _probed(parts), rows))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.grouped(met, "block", _scored(parts, total or 0, types or 0, texts_n, sent), schema)
+    return blocks.met(texts.select("block", "part", "data"), answers, "block", _scored(parts, total or 0, types or 0, texts_n, sent), schema)
