@@ -27,6 +27,10 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Up to this alphabet, induction runs over whole buckets at once; above it, suffix by suffix.
 WIDE = 1024
+#: Bytes of text in a block.
+BLOCK = 8 << 20
+#: Bytes of passages whose suffixes are sorted together, unless an anchor alone has more; shards for each range of input.
+SHARD, SHARDS = 1 << 20, 4
 _LAST = np.iinfo(np.int64).max
 OUTPUTS = {"kept": "binary", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "spans": "array<bigint>", "kept_sha256": "string"}
 
@@ -305,9 +309,9 @@ def _shared(rows: dict) -> np.ndarray:
 
 
 def _sent(parts: int):
-    def send(block: int, table: pa.Table) -> Iterator[tuple]:
-        rows = dict(zip(table.column("part").to_pylist(), table.column("data"), strict=True))
-        ids, texts = blocks.opened(rows[-1].as_py())
+    def send(block: int, table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+        rows = dict(zip(answers.column("part").to_pylist(), answers.column("data"), strict=True))
+        ids, texts = blocks.opened(table.column("data")[0].as_py())
         own, shared = Passages(texts), _shared(rows)
         _, _, members, least = own.distinct(shared, _ids(ids))
         data = own.data.tobytes()
@@ -317,35 +321,59 @@ def _sent(parts: int):
             if len(some):
                 sizes = own.runs[some] + LENGTH - 1
                 text = b"".join([data[s : s + n] for s, n in zip(own.start[some].tolist(), sizes.tolist(), strict=True)])
-                yield block, p, blocks.shut((sizes.astype(np.uint8), blocks.planes(least[cuts[p] : cuts[p + 1]].view(_U), 8), text))
-        yield block, -1, blocks.shut((ids, texts, shared))
+                fine = own.anchor[some] << _U(parts.bit_length() - 1) >> _U(24)  # the 40 bits of the anchor after those of the shard
+                yield block, p, blocks.shut((sizes.astype(np.uint8), blocks.planes(fine, 5), blocks.planes(least[cuts[p] : cuts[p + 1]].view(_U), 8), text))
+        yield block, -1, blocks.shut(blocks.steps(shared, 6))
 
     return send
 
 
 def _owned(part: int, table: pa.Table) -> Iterator[tuple]:
-    """Answer every block with the smallest id for each window of its passages."""
+    """Answer every block with the smallest id for each window of its passages.
+
+    Passages that share a window share the anchor. So the only passage of an anchor needs no
+    sorting, and the others are sorted in runs of anchors, each with a suffix array of its own,
+    which bounds a worker's memory.
+    """
     number: dict[bytes, int] = {}
     least: list[int] = []
+    fine: list[int] = []
     asked = []
     for block, blob in zip(table.column("block").to_pylist(), table.column("data"), strict=True):
-        sizes, ids, text = blocks.opened(blob.as_py())
-        ids, at, mine = blocks.unplanes(ids, 8).view(np.int64).tolist(), 0, []
-        for size, doc_id in zip(sizes.tolist(), ids, strict=True):
+        sizes, bits, ids, text = blocks.opened(blob.as_py())
+        ids, bits, at, mine = blocks.unplanes(ids, 8).view(np.int64).tolist(), blocks.unplanes(bits, 5), 0, []
+        for size, bit, doc_id in zip(sizes.tolist(), bits.tolist(), ids, strict=True):
             passage = text[at : at + size]
             at += size
             k = number.setdefault(passage, len(least))
             if k == len(least):
                 least.append(doc_id)
+                fine.append(bit)
             elif doc_id < least[k]:
                 least[k] = doc_id
             mine.append(k)
-        asked.append((block, np.array(mine)))
+        asked.append((block, np.array(mine, np.int64)))
     passages = list(number)
-    owner = np.array(least, np.int64)
-    runs = np.fromiter(map(len, passages), np.int64, len(passages)) - LENGTH + 1
+    del number
+    owner, of = np.array(least, np.int64), np.array(fine, np.int64)
+    lengths = np.fromiter(map(len, passages), np.int64, len(passages))
+    runs = lengths - LENGTH + 1
     first = np.cumsum(runs) - runs
-    low = smallest(passages, owner)
+    low = np.repeat(owner, runs)
+    order = np.argsort(of, kind="stable")
+    alone = np.ones(len(order), bool)
+    alone[1:] &= of[order][1:] != of[order][:-1]
+    alone[:-1] &= of[order][1:] != of[order][:-1]
+    order = order[~alone]
+    edge = np.flatnonzero(np.concatenate((of[order][1:] != of[order][:-1], [True]))) + 1 if len(order) else np.zeros(0, np.int64)
+    start, total = 0, np.cumsum(lengths[order])
+    for stop, after in zip(edge.tolist(), [*edge[1:].tolist(), None], strict=False):
+        if after is None or total[after - 1] - (total[start - 1] if start else 0) > SHARD:
+            some = order[start:stop]
+            own_runs = runs[some]
+            to = np.repeat(first[some], own_runs) + (np.arange(own_runs.sum()) - np.repeat(np.cumsum(own_runs) - own_runs, own_runs))
+            low[to] = smallest([passages[i] for i in some.tolist()], owner[some])
+            start = stop
     for block, mine in asked:
         mine_runs = runs[mine]
         at = np.repeat(first[mine], mine_runs) + (np.arange(mine_runs.sum()) - np.repeat(np.cumsum(mine_runs) - mine_runs, mine_runs))
@@ -353,11 +381,12 @@ def _owned(part: int, table: pa.Table) -> Iterator[tuple]:
 
 
 def _removed(outputs: tuple[str, ...]):
-    def remove(block: int, table: pa.Table) -> Iterator[tuple]:
-        rows = dict(zip(table.column("part").to_pylist(), table.column("data"), strict=True))
-        ids, texts, shared = blocks.opened(rows.pop(-1).as_py())
+    def remove(block: int, table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
+        rows = dict(zip(answers.column("part").to_pylist(), answers.column("data"), strict=True))
+        ids, texts = blocks.opened(table.column("data")[0].as_py())
+        shared = blocks.unsteps(blocks.opened(rows.pop(-1).as_py()), 6)
         own, numbers = Passages(texts), _ids(ids)
-        gone = np.zeros(len(own.data) + 1, np.int32)
+        gone = np.zeros(len(own.data) + 1, np.int8)  # windows that start here less windows that ended: a sum of at most 50
         order, which, members, _ = own.distinct(shared, numbers)
         if len(order):
             low = np.concatenate([blocks.unplanes(blocks.opened(rows[p].as_py()), 8) for p in sorted(rows)]).view(np.int64)
@@ -367,11 +396,11 @@ def _removed(outputs: tuple[str, ...]):
             hit = low[np.repeat(first[which], runs) + nth] < np.repeat(numbers[own.doc[order]], runs)
             at = (np.repeat(own.start[order], runs) + nth)[hit]
             gone[at] += 1
-            gone[: len(own.data)] -= np.bincount(at + LENGTH, minlength=len(own.data))[: len(own.data)].astype(np.int32) if len(at) else 0
-        mask = np.cumsum(gone[:-1]) > 0
+            gone[at + LENGTH] -= 1
+        mask = np.cumsum(gone[:-1], dtype=np.int8) > 0
         edge = mask & ~np.concatenate(([False], mask[:-1]))
         starts = own.starts
-        n_removed, n_spans = (np.add.reduceat(x, starts[:-1]) if len(ids) else [] for x in (mask.astype(np.int64), edge.astype(np.int64)))
+        n_removed, n_spans = (np.add.reduceat(x, starts[:-1], dtype=np.int64) if len(ids) else [] for x in (mask, edge))
         for i, doc_id in enumerate(ids):
             low, high = starts[i], starts[i + 1] - 1
             row: list = [doc_id]
@@ -397,11 +426,12 @@ def dedup(docs: DataFrame, outputs: Iterable[str] = ("kept", "n_bytes", "n_remov
     empty result; other columns are ignored.
     """
     outputs = tuple(outputs)
-    parts = blocks.ranges(docs)
+    parts = SHARDS * blocks.ranges(docs)
     rows = "block bigint, part int, data binary"
-    first = scratch.store(blocks.scanned(docs, _found(parts), rows), "anchors")
+    first = scratch.dealt(blocks.scanned(docs, _found(parts), rows, BLOCK), "block", parts // SHARDS)
+    texts = first.where(F.col("part") < 0)
     met = blocks.grouped(first.where(F.col("part") >= 0), "part", _met, rows)
-    second = scratch.store(blocks.grouped(first.where(F.col("part") < 0).unionByName(met), "block", _sent(parts), rows), "passages")
-    owned = blocks.grouped(second.where(F.col("part") >= 0), "part", _owned, rows)
+    second = scratch.store(blocks.met(texts, met, "block", _sent(parts), rows), "passages")
+    owned = blocks.grouped(second.where(F.col("part") >= 0).repartition(parts, "part"), "part", _owned, rows)  # sorting costs more than its bytes tell
     schema = ", ".join(["doc_id bigint", *(f"{name} {OUTPUTS[name]}" for name in outputs)])
-    return blocks.grouped(second.where(F.col("part") < 0).unionByName(owned), "block", _removed(outputs), schema)
+    return blocks.met(texts, second.where(F.col("part") < 0).unionByName(owned), "block", _removed(outputs), schema)
