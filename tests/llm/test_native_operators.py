@@ -178,6 +178,21 @@ def test_disclosing_terms(spark):
     assert clean[1] == "alpha beta gamma 1 delta  <EMAIL> omega rest of it" and clean[100] == text[100]
 
 
+def test_disclosing_terms_far_from_entities(spark):
+    from tilequarry.llm import pii
+
+    far = "alpha beta gamma delta omega rest of it " * 5
+    rows = [(i, f"alpha beta gamma {i} delta kontakt person{i % 3}@mail{i}.example.org omega rest of it") for i in range(60)]
+    rows += [(100 + i, far) for i in range(400)]
+    rows += [(900, f"{far}KONTAKT, {far}"), (901, f"alpha me@mail.example.org {far}kontakt"), (902, "kontakt"), (903, "kontakte kontakt@mail.example.org")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    told = {r.doc_id: [(x.s, x.e, x.m) for x in r.spans if x.k == 4] for r in pii.find(docs).collect()}
+    want = {i: [(m.start(), m.end(), "kontakt") for m in re.finditer(r"\bkontakt\b(?!@)", t, re.I)] for i, t in rows}
+    assert told == want and sum(map(len, want.values())) == 63
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert [i for i, t in clean.items() if "kontakt" in t.lower()] == [903] and clean[900] == f"{far}, {far}" and clean[903] == "kontakte <EMAIL>"
+
+
 def test_sanitised_texts(odd_docs):
     from tilequarry.llm import pii
 

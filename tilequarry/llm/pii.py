@@ -5,6 +5,8 @@ DataFrame functions alone. Spans are in code points, the end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
-def located(text: Column, pattern: str, kind: int) -> Column:
-    """The matches of a pattern, in order, as structs of start, kind, end and text.
+def located(text: Column, pattern: str, kind: int, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """The matches of a pattern (the wanted ones), in order, as structs of start, kind, end and text.
 
     Functions that extract give no positions: they follow from the lengths of matches and of the
     pieces between them.
@@ -50,7 +52,10 @@ def located(text: Column, pattern: str, kind: int) -> Column:
     def add(now: Column, x: Column) -> Column:
         s = now["at"] + x["gap"]
         one = F.struct(s.alias("s"), F.lit(kind).alias("k"), (s + x["size"]).alias("e"), x["m"].alias("m"))
-        return F.struct((s + x["size"]).alias("at"), F.concat(now["out"], F.array(one)).alias("out"))
+        out = F.concat(now["out"], F.array(one))
+        if wanted is not None:
+            out = F.when(wanted(x["m"]), out).otherwise(now["out"])
+        return F.struct((s + x["size"]).alias("at"), out.alias("out"))
 
     return F.aggregate(F.filter(sized, lambda x: x["m"].isNotNull()), start, add, lambda end: end["out"])
 
@@ -153,11 +158,12 @@ def terms_of(docs: DataFrame, near: DataFrame) -> dict[str, bool]:
 
 
 def all_spans(terms: dict[str, bool]) -> Column:
-    """Base spans and the spans of near terms that disclose, by start, then kind."""
+    """Base spans and every disclosing term of the text outside them, near an entity or not, by start, then kind."""
     if not terms:
         return F.col("_base")
-    told = F.filter("_near", lambda x: x["term"].isin(list(terms)))
-    return F.sort_array(F.concat(F.col("_base"), F.array_distinct(F.transform(told, lambda x: F.struct(x["s"].alias("s"), F.lit(4).alias("k"), x["e"].alias("e"), x["term"].alias("m"))))))
+    told = located(F.col("_text"), r"\p{L}+", 4, lambda m: F.lower(m).isin(list(terms)))
+    clear = F.filter(told, lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return F.sort_array(F.concat(F.col("_base"), F.transform(clear, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lower(x["m"]).alias("m")))))
 
 
 def listed(spans: Column) -> Column:
@@ -171,8 +177,10 @@ def find(docs: DataFrame) -> DataFrame:
 
     A null text is empty; an empty table gives an empty result; other columns are ignored.
     """
-    own = scratch.store(found(docs.select("doc_id", "text")).select("doc_id", "_base", "_near"), "pii")
+    whole = found(docs.select("doc_id", "text"))
+    own = scratch.store(whole.select("doc_id", "_base", "_near"), "pii")
     terms = terms_of(docs, own)
+    own = whole if terms else own  # terms are looked up in the texts, which are read again rather than stored
     kinds = F.transform("_base", lambda x: x["k"])
     counts = [(F.size("_base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
     return own.select("doc_id", *counts, F.col("_base").alias("base"), all_spans(terms).alias("spans"))
