@@ -1,6 +1,7 @@
 """Operators on DataFrame functions alone against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -57,6 +58,22 @@ def test_quality_many_repeats(spark):
     assert (got.n_words, got.n_repeat_words) == (brute_quality(text)[0], brute_quality(text)[4])
 
 
+def test_quality_wordless_texts_do_not_pass(spark):
+    from tilequarry.llm import quality
+
+    def say(i, every):
+        rng = random.Random(i)
+        invented = ["".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(80)]
+        return " ".join(rng.choice(["the", "of", "and", "to"]) if every and k % every == 0 else w for k, w in enumerate(invented))
+
+    rows = [(i, say(i, 5), "en") for i in range(40)] + [(100 + i, say(i, 0), "en") for i in range(4)]
+    rows += [(200 + i, say(i, 0), "xx") for i in range(40)]  # a language that has none of the listed words
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in quality.passing(docs).collect()}
+    assert not any(r.base_failed for r in quality.rules(docs).collect())
+    assert kept == {i for i, _, _ in rows if not 100 <= i < 200}
+
+
 # -- sharding --------------------------------------------------------------------------------------
 
 

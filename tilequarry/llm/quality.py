@@ -21,6 +21,9 @@ MIN_WORDS = 50
 #: Largest Jensen-Shannon distances (base 2, so from 0 to 1) of a document from its language.
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.45
+#: A text as far from its language as this share of the distance of a text without common words
+#: counts as wordless, if at least so many common words were to be expected in it.
+WORDLESS, EXPECTED = 0.99, 8
 #: A language of fewer documents than this gives no reference; its documents pass the method's rule.
 MIN_REFERENCE = 20
 #: Up to this many languages, references are broadcast; beyond, they are joined.
@@ -89,15 +92,19 @@ def _repeated(df: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words, base_failed, the distances and kept.
+    """``docs`` with word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words, base_failed, the distances, kept and wordless.
 
     References come from all documents of a language (column lang, null a language of its own).
     A document fails the method's rule when its character classes or its common words lie further
     than the largest distance from its language's; documents under MIN_WORDS words fail the base
     rule already, and a language without a reference passes. A null text counts as empty.
+    Wordless texts lie as far from their language's common words as a text that has none; kept,
+    which is what the SQL of op9_quality has, does not depend on it.
     Columns of ``docs`` other than text and lang pass through untouched; new ones start with q_.
     """
     refs = references(docs)
+    none = F.array(*[F.lit(0).cast("long")] * len(VOCABULARY), F.lit(1).cast("long"))
+    refs = refs.withColumn("_bare", F.sqrt(F.greatest(F.lit(0.0), divergence(none, F.col("_ref_common")))))
     few = refs.limit(SMALL + 1).collect()
     if len(few) <= SMALL:
         refs = F.broadcast(docs.sparkSession.createDataFrame(few, refs.schema))
@@ -112,9 +119,12 @@ def judged(docs: DataFrame) -> DataFrame:
     n, repeat = F.size("_w").cast("long"), F.col("_repeat")
     failed = (n < MIN_WORDS) | (repeat * 100 > n * 50)
     far = F.coalesce(F.col("_class_d") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("_word_d") > MAX_WORD_DISTANCE, F.lit(False))
+    every = F.aggregate("_ref_common", F.lit(0).cast("long"), lambda a, x: a + x)
+    expected = n * (every - F.element_at("_ref_common", -1)) >= EXPECTED * every
+    wordless = F.coalesce(expected & (F.col("_word_d") >= WORDLESS * F.col("_bare")), F.lit(False))
     out = {
         "q_n_words": n, "q_word_chars": F.col("_word_chars"), "q_n_symbols": F.col("_classes")[CLASSES.index("symbol")], "q_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "q_n_repeat_words": repeat, "q_base_failed": failed, "q_class_distance": F.col("_class_d"), "q_word_distance": F.col("_word_d"), "q_kept": ~failed & ~far,
+        "q_n_repeat_words": repeat, "q_base_failed": failed, "q_class_distance": F.col("_class_d"), "q_word_distance": F.col("_word_d"), "q_kept": ~failed & ~far, "q_wordless": wordless,
     }
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(name) for name, c in out.items()])
 
@@ -126,10 +136,10 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns as they were.
+    """The documents that the rules keep and that are not wordless, with their columns as they were.
 
     The filter also reads a column that the optimizer may not move it past: pushed below the
     projections, it would repeat every count for each use of it.
     """
     held = judged(docs).withColumn("_here", F.spark_partition_id())
-    return held.where(F.col("q_kept") & (F.col("_here") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return held.where(F.col("q_kept") & ~F.col("q_wordless") & (F.col("_here") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
