@@ -12,6 +12,18 @@ def upper_median(value: Column) -> Column:
     return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
 
 
+def medians(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """The upper median of ``value`` in every group, null without values: counts of equal values and their running sums.
+
+    No group is held in one array; what is sorted in a group is its distinct values.
+    """
+    counts = rows.groupBy(*group, value).agg(F.count(value).alias("_n"))
+    w = Window.partitionBy(*group)
+    below, total = F.sum("_n").over(w.orderBy(value)), F.sum("_n").over(w)
+    ranked = counts.withColumn("_upto", below).withColumn("_all", total)
+    return ranked.groupBy(*group).agg(F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col(value))).alias(name))
+
+
 def summary(tiles: DataFrame, default_size: int = 30_000) -> DataFrame:
     """tiles(z, cached, size) by zoom and, with z null, in all: total, cached, to_process, bytes, all_cached."""
     cached = F.count_if(F.col("cached"))

@@ -211,7 +211,13 @@ def sampled_sizes(spark, d):
 @query("select l_returnflag, l_linestatus, list_sort(list(l_quantity))[len(list(l_quantity))//2+1] med from lineitem where l_partkey%10=0 group by 1,2")
 def upper_median(spark, d):
     """Upper median by group."""
-    return table(spark, d, "lineitem").where("l_partkey % 10 = 0").groupBy("l_returnflag", "l_linestatus").agg(aggregate.upper_median(F.col("l_quantity")).alias("med"))
+    return aggregate.medians(table(spark, d, "lineitem").where("l_partkey % 10 = 0"), ["l_returnflag", "l_linestatus"], "l_quantity", "med")
+
+
+@query(ORACLES["upper_median"].replace(" where l_partkey%10=0", ""))
+def upper_median_all(spark, d):
+    """Upper median by group, over all rows."""
+    return aggregate.medians(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "med")
 
 
 @query("select coalesce(min(w),0) w, coalesce(min(s),0) s, coalesce(max(e),0) e, coalesce(max(n),0) n from boxes", "boxes")
