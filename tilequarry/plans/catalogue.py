@@ -359,11 +359,21 @@ def resume(spark, d):
 )
 def fold_over(spark, d):
     """Ordered source-over compositing of the stack of every key (every 50th key is a tile of the map)."""
-    rows = table(spark, d, "lineitem").where("l_orderkey % 50 = 1").select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), "l_quantity", "l_discount")
+    return _folded(table(spark, d, "lineitem").where("l_orderkey % 50 = 1"))
+
+
+def _folded(lines: DataFrame) -> DataFrame:
+    rows = lines.select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), "l_quantity", "l_discount")
     out = composite.over(rows, ["l_orderkey"], "pos", "l_quantity", "l_discount")
     return out.select("l_orderkey", r9(F.col("value")).alias("value"), r9(F.col("alpha")).alias("alpha"))
 
 
+@query(ORACLES["fold_over"].replace(" where l_orderkey%50=1", ""))
+def fold_over_all(spark, d):
+    """Ordered source-over compositing of the stacks of all keys."""
+    return _folded(table(spark, d, "lineitem"))
+
+
 @query("select page_id, substr(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(url,'^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*',''),'/'), lambda p: regexp_replace(p,'^\\.+|\\.+$','','g')), lambda p: p<>''),'-'),'[?=&]','-','g'),1,200) as \"key\", case when regexp_matches(url,'/(collections|stac)/') then 'stac' when not regexp_matches(url,'^[a-z]+://') then 'path' end as kind from pages")
 def cache_keys(spark, d):
     """Cache folder and source type of every address."""
