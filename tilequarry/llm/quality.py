@@ -31,36 +31,48 @@ SMALL = 5_000
 CLASSES = ("upper", "digit", "mark", "symbol", "wide", "blank", "other")
 
 
-def _left(text: Column, others: str) -> Column:
-    """How many characters stay when runs of ``others`` go."""
-    return F.length(F.regexp_replace(text, others, "")).cast("long")
+#: The characters of the classes that are counted by name, and those that no such class has.
+UPPER = "".join(map(chr, [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+DIGITS, MARKS = "0123456789", ".,;:!?'\"()-"
+PLAIN = "".join(map(chr, range(0x61, 0x7B))) + " \t\n\v\f\r"
+ASCII = "".join(map(chr, range(0x80)))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Add _t (text), _w (words) and the two histograms, _classes and _common, of every document.
+def packed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns to keep, all by default), lang and t (text, a null empty) of every document.
+
+    Nothing of ``docs`` stands beside what is computed, so its other columns may have any name.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    return docs.select(row.alias("row"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Add w (words), word_chars and the two histograms, classes and common, to packed documents.
 
     The words' histogram ends with the count of all other words, capitalised ones among them.
-    Counting goes by what array_remove takes away, over the few common words of a text alone.
+    Counting goes by what translate and array_remove take away: of the letters and blanks first,
+    so that the passes for the single classes see the few characters that are left.
     """
-    df = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit(""))).withColumn("_w", native.words(F.col("_t")))
-    df = df.withColumn("_chars", F.length("_t").cast("long")).withColumn("_word_chars", F.length(F.array_join("_w", "")).cast("long"))
-    upper, digit = _left(F.col("_t"), r"[^A-ZÀ-ÖØ-Þ]+"), _left(F.col("_t"), r"[^0-9]+")
-    mark, symbol = _left(F.col("_t"), r"[^.,;:!?'\"()-]+"), _left(F.col("_t"), r"[^#*$%&|<>]+")
-    wide = _left(F.col("_t"), r"[\x00-\x7FÀ-ÖØ-Þ]+")
-    df = df.withColumn("_known", F.array(upper, digit, mark, symbol, wide, F.col("_chars") - F.col("_word_chars")))
-    rest = F.col("_chars") - F.aggregate("_known", F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumn("_classes", F.concat("_known", F.array(rest)))
-    df = df.withColumn("_hits", F.filter("_w", lambda w: w.isin(VOCABULARY)))
-    found = F.transform(F.array(*map(F.lit, VOCABULARY)), lambda w: (F.size("_hits") - F.size(F.array_remove("_hits", w))).cast("long"))
-    return df.withColumn("_common", F.concat(found, F.array((F.size("_w") - F.size("_hits")).cast("long"))))
-
-
-def references(docs: DataFrame) -> DataFrame:
-    """Summed histograms of each language's documents of MIN_WORDS or more words: lang, classes, common."""
-    own = counted(docs.select(F.col("lang").cast("string").alias("lang"), "text")).where(F.size("_w") >= MIN_WORDS)
-    bins = own.select("lang", F.posexplode(F.concat("_classes", "_common"))).groupBy("lang", "pos").agg(F.sum("col").alias("total"), F.count(F.lit(1)).alias("n"))
-    by = bins.where(F.col("n") >= MIN_REFERENCE).groupBy(F.col("lang").alias("_lang")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"]).alias("_all"))
-    return by.select("_lang", F.slice("_all", 1, len(CLASSES)).alias("_ref_classes"), F.slice("_all", len(CLASSES) + 1, len(VOCABULARY) + 1).alias("_ref_common"))
+    left = lambda text, those: F.length(F.translate(text, those, "")).cast("long")
+    df = df.withColumn("w", native.words(F.col("t"))).withColumn("rare", F.translate("t", PLAIN, ""))
+    df = df.withColumns({"chars": F.length("t").cast("long"), "word_chars": F.length(F.array_join("w", "")).cast("long"), "rares": F.length("rare").cast("long")})
+    upper, digit, mark, symbol = (F.col("rares") - left("rare", those) for those in (UPPER, DIGITS, MARKS, SYMBOLS))
+    wide = left("rare", ASCII + UPPER[26:])
+    df = df.withColumn("known", F.array(upper, digit, mark, symbol, wide, F.col("chars") - F.col("word_chars")))
+    rest = F.col("chars") - F.aggregate("known", F.lit(0).cast("long"), lambda a, x: a + x)
+    df = df.withColumn("classes", F.concat("known", F.array(rest)))
+    df = df.withColumn("hits", F.filter("w", lambda w: w.isin(VOCABULARY)))
+    found = F.transform(F.array(*map(F.lit, VOCABULARY)), lambda w: (F.size("hits") - F.size(F.array_remove("hits", w))).cast("long"))
+    return df.withColumn("common", F.concat(found, F.array((F.size("w") - F.size("hits")).cast("long"))))
+
+
+def references(own: DataFrame) -> DataFrame:
+    """Summed histograms of each language's documents of MIN_WORDS or more words, from the stored counts: ref_lang, ref_classes, ref_common."""
+    bins = own.where(F.col("n") >= MIN_WORDS).select("lang", F.posexplode(F.concat("classes", "common"))).groupBy("lang", "pos").agg(F.sum("col").alias("total"), F.count(F.lit(1)).alias("docs"))
+    held = F.transform(F.sort_array(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"])
+    by = bins.where(F.col("docs") >= MIN_REFERENCE).groupBy(F.col("lang").alias("ref_lang")).agg(held.alias("every"))
+    return by.select("ref_lang", F.slice("every", 1, len(CLASSES)).alias("ref_classes"), F.slice("every", len(CLASSES) + 1, len(VOCABULARY) + 1).alias("ref_common"))
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -72,23 +84,58 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    """Add _repeat: words in three-word windows that come twice or more, each word once.
+    """Add repeat: words in three-word windows that come twice or more, each word once.
 
     Windows are compared by a 64-bit hash inside one document; sorting puts equal ones side by side.
     """
-    n = F.size("_w")
-    df = df.withColumn("_grams", F.when(n >= 3, F.transform(F.slice("_w", 1, F.greatest(n - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_any", F.size(F.array_distinct("_grams")) < F.size("_grams"))
+    n = F.size("w")
+    df = df.withColumn("grams", F.when(n >= 3, F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("any", F.size(F.array_distinct("grams")) < F.size("grams"))
     none, pairs = F.array().cast("array<bigint>"), "array<struct<g:bigint,i:int>>"
-    df = df.withColumn("_s", F.when(F.col("_any"), F.sort_array("_grams")).otherwise(none))
-    df = df.withColumn("_dups", F.array_distinct(F.filter("_s", lambda g, i: F.coalesce(F.get("_s", i - 1) == g, F.lit(False)))))
-    many = F.size("_dups") > 256  # then looking each window up in a list would be quadratic
-    df = df.withColumn("_sorted", F.when(many, F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(F.array().cast(pairs)))
-    same = lambda e, i: F.coalesce(F.get("_sorted", i - 1)["g"] == e["g"], F.lit(False)) | F.coalesce(F.get("_sorted", i + 1)["g"] == e["g"], F.lit(False))
-    looked = F.filter(F.transform("_grams", lambda g, i: F.when(F.array_contains("_dups", g), i)), lambda i: i.isNotNull())
-    df = df.withColumn("_twice", F.when(many, F.sort_array(F.transform(F.filter("_sorted", same), lambda e: e["i"]))).when(F.size("_dups") > 0, looked).otherwise(F.array().cast("array<int>")))
-    cover = F.transform("_twice", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_twice", i + 1) - x, F.lit(3))))
-    return df.withColumn("_repeat", F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x))
+    df = df.withColumn("s", F.when(F.col("any"), F.sort_array("grams")).otherwise(none))
+    df = df.withColumn("dups", F.array_distinct(F.filter("s", lambda g, i: F.coalesce(F.get("s", i - 1) == g, F.lit(False)))))
+    many = F.size("dups") > 256  # then looking each window up in a list would be quadratic
+    df = df.withColumn("sorted", F.when(many, F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(F.array().cast(pairs)))
+    same = lambda e, i: F.coalesce(F.get("sorted", i - 1)["g"] == e["g"], F.lit(False)) | F.coalesce(F.get("sorted", i + 1)["g"] == e["g"], F.lit(False))
+    looked = F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains("dups", g), i)), lambda i: i.isNotNull())
+    df = df.withColumn("twice", F.when(many, F.sort_array(F.transform(F.filter("sorted", same), lambda e: e["i"]))).when(F.size("dups") > 0, looked).otherwise(F.array().cast("array<int>")))
+    cover = F.transform("twice", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("twice", i + 1) - x, F.lit(3))))
+    return df.withColumn("repeat", F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Everything that is counted in a text, of every document, counted once and stored without the text (unless it is kept)."""
+    df = _repeated(counted(packed(docs, keep)))
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{native.BLANKS}]"))
+    df = df.withColumn("lines", lines).withColumn("dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    return scratch.store(df.select("row", "lang", F.size("w").cast("long").alias("n"), "word_chars", "classes", "common", "repeat", "dup_lines"), "counts")
+
+
+def _judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row and the columns that judged() adds."""
+    df = measured(docs, keep)
+    refs = references(df)
+    none = F.array(*[F.lit(0).cast("long")] * len(VOCABULARY), F.lit(1).cast("long"))
+    refs = refs.withColumn("bare", F.sqrt(F.greatest(F.lit(0.0), divergence(none, F.col("ref_common")))))
+    few = refs.limit(SMALL + 1).collect()
+    if len(few) <= SMALL:
+        refs = F.broadcast(docs.sparkSession.createDataFrame(few, refs.schema))
+    else:
+        refs = scratch.store(refs, "references")
+    df = df.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    df = df.withColumn("class_d", F.sqrt(F.greatest(F.lit(0.0), divergence(F.col("classes"), F.col("ref_classes")))))
+    df = df.withColumn("word_d", F.sqrt(F.greatest(F.lit(0.0), divergence(F.col("common"), F.col("ref_common")))))
+    n, repeat = F.col("n"), F.col("repeat")
+    failed = (n < MIN_WORDS) | (repeat * 100 > n * 50)
+    far = F.coalesce(F.col("class_d") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_d") > MAX_WORD_DISTANCE, F.lit(False))
+    every = F.aggregate("ref_common", F.lit(0).cast("long"), lambda a, x: a + x)
+    expected = n * (every - F.element_at("ref_common", -1)) >= EXPECTED * every
+    wordless = F.coalesce(expected & (F.col("word_d") >= WORDLESS * F.col("bare")), F.lit(False))
+    out = {
+        "q_n_words": n, "q_word_chars": F.col("word_chars"), "q_n_symbols": F.col("classes")[CLASSES.index("symbol")], "q_n_dup_lines": F.col("dup_lines"),
+        "q_n_repeat_words": repeat, "q_base_failed": failed, "q_class_distance": F.col("class_d"), "q_word_distance": F.col("word_d"), "q_kept": ~failed & ~far, "q_wordless": wordless,
+    }
+    return df.select("row", *[c.alias(name) for name, c in out.items()])
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -100,46 +147,20 @@ def judged(docs: DataFrame) -> DataFrame:
     rule already, and a language without a reference passes. A null text counts as empty.
     Wordless texts lie as far from their language's common words as a text that has none; kept,
     which is what the SQL of op9_quality has, does not depend on it.
-    Columns of ``docs`` other than text and lang pass through untouched; new ones start with q_.
+    New columns start with q_ and take the place of columns of these names; all others pass
+    through untouched. Repeated rows are judged alike; an empty table gives an empty result.
     """
-    refs = references(docs)
-    none = F.array(*[F.lit(0).cast("long")] * len(VOCABULARY), F.lit(1).cast("long"))
-    refs = refs.withColumn("_bare", F.sqrt(F.greatest(F.lit(0.0), divergence(none, F.col("_ref_common")))))
-    few = refs.limit(SMALL + 1).collect()
-    if len(few) <= SMALL:
-        refs = F.broadcast(docs.sparkSession.createDataFrame(few, refs.schema))
-    else:
-        refs = scratch.store(refs, "references")
-    df = _repeated(counted(docs))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{native.BLANKS}]"))
-    df = df.withColumn("_lines", lines)
-    df = df.join(refs, F.col("lang").cast("string").eqNullSafe(F.col("_lang")), "left")
-    df = df.withColumn("_class_d", F.sqrt(F.greatest(F.lit(0.0), divergence(F.col("_classes"), F.col("_ref_classes")))))
-    df = df.withColumn("_word_d", F.sqrt(F.greatest(F.lit(0.0), divergence(F.col("_common"), F.col("_ref_common")))))
-    n, repeat = F.size("_w").cast("long"), F.col("_repeat")
-    failed = (n < MIN_WORDS) | (repeat * 100 > n * 50)
-    far = F.coalesce(F.col("_class_d") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("_word_d") > MAX_WORD_DISTANCE, F.lit(False))
-    every = F.aggregate("_ref_common", F.lit(0).cast("long"), lambda a, x: a + x)
-    expected = n * (every - F.element_at("_ref_common", -1)) >= EXPECTED * every
-    wordless = F.coalesce(expected & (F.col("_word_d") >= WORDLESS * F.col("_bare")), F.lit(False))
-    out = {
-        "q_n_words": n, "q_word_chars": F.col("_word_chars"), "q_n_symbols": F.col("_classes")[CLASSES.index("symbol")], "q_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "q_n_repeat_words": repeat, "q_base_failed": failed, "q_class_distance": F.col("_class_d"), "q_word_distance": F.col("_word_d"), "q_kept": ~failed & ~far, "q_wordless": wordless,
-    }
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(name) for name, c in out.items()])
+    own = _judged(docs)
+    new = own.columns[1:]
+    return own.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *new)
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    own = judged(docs.select("doc_id", "text", "lang"))
-    return own.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], "q_class_distance", "q_word_distance")
+    own = _judged(docs, ["doc_id"])
+    return own.select("row.doc_id", *[F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], "q_class_distance", "q_word_distance")
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep and that are not wordless, with their columns as they were.
-
-    The filter also reads a column that the optimizer may not move it past: pushed below the
-    projections, it would repeat every count for each use of it.
-    """
-    held = judged(docs).withColumn("_here", F.spark_partition_id())
-    return held.where(F.col("q_kept") & ~F.col("q_wordless") & (F.col("_here") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the rules keep and that are not wordless, with their columns as they were, whatever their names."""
+    return _judged(docs).where(F.col("q_kept") & ~F.col("q_wordless")).select("row.*")
