@@ -13,6 +13,7 @@ costs one entry a block.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from tilequarry.llm import blocks, scratch, textnum
 _U = np.uint64
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
+#: Bytes that every window has before its anchor or behind it.
+SIDE = (LENGTH - GRAM) // 2
 #: Up to this alphabet, induction runs over whole buckets at once; above it, suffix by suffix.
 WIDE = 1024
 #: Bytes of text in a block.
@@ -97,31 +100,51 @@ def _induced_deep(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: in
     """The same, one suffix after another, for the large alphabets of deeper levels."""
     n, counts = len(text), np.bincount(text, minlength=size)
     ends = np.cumsum(counts)
-    head, tail, t, s = (ends - counts).tolist(), ends.tolist(), text.tolist(), small.tolist()
-    sa = [-1] * n
-    edge = ends.tolist()
-    for i in reversed(lms.tolist()):
-        c = t[i]
-        edge[c] -= 1
-        sa[edge[c]] = i
-    if not s[n - 1]:
-        sa[head[t[n - 1]]] = n - 1
-        head[t[n - 1]] += 1
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not s[j]:
-            c = t[j]
-            sa[head[c]] = j
+    head, tail = (ends - counts).tolist(), ends.tolist()
+    # the letter before each suffix, if that suffix is larger (smaller) than this one, else -1
+    before, falls = np.concatenate(([-1], text[:-1])), np.concatenate(([False], ~small[:-1]))
+    larger, smaller = np.where(falls, before, -1).tolist(), np.where(falls, -1, before).tolist()
+    sa = [0] * (n + 1)  # suffix 0 has none before it, so 0 also stands for an empty place
+    sa[n] = n
+    chars = text[lms]
+    by = np.argsort(chars, kind="stable")
+    first = np.searchsorted(chars[by], chars[by], "left")
+    many = np.bincount(chars, minlength=size)
+    for k, i in zip((ends[chars[by]] - many[chars[by]] + np.arange(len(by)) - first).tolist(), lms[by].tolist(), strict=True):
+        sa[k] = i
+    if not small[n - 1]:
+        c = int(text[n - 1])
+        sa[head[c]] = n - 1
+        head[c] += 1
+    for i in islice(sa, n):  # which grows as it is read
+        c = larger[i]
+        if c >= 0:
+            sa[head[c]] = i - 1
             head[c] += 1
     for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and s[j]:
-            c = t[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+        i = sa[k]
+        c = smaller[i]
+        if c >= 0:
+            k = tail[c] - 1
+            tail[c] = k
+            sa[k] = i - 1
+    sa.pop()
     return np.array(sa, np.int64)
 
 
+def _alike(text: np.ndarray, at: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Whether each substring (start and length given) has the letters of the one before it."""
+    same = long[1:] == long[:-1]
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        equal = text[at[live] + k] == text[at[live + 1] + k]
+        same[live[~equal]] = False
+        k += 1
+        live = live[equal]
+        live = live[long[live] > k]
+    return same
+
+
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """The suffixes of ``text`` (integers below ``size``) in order, by induced sorting.
 
@@ -141,20 +164,11 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     rough = rough[is_lms[rough]]
-    until = np.append(lms[1:] + 1, n)
     long = np.zeros(n, np.int64)
-    long[lms] = until - lms
-    stop = rough + long[rough]
-    sums = np.zeros(n + 1, _U)
-    up, down = textnum.powers(n + 1)
-    np.cumsum((text.astype(_U) + _U(1)) * up[:n], out=sums[1:])
-    mark = textnum.mixed((sums[stop] - sums[rough]) * down[rough]) ^ long[rough].astype(_U)
-    new = np.ones(len(rough), bool)
-    new[1:] = mark[1:] != mark[:-1]
-    new[rough == lms[-1]] = True
-    after = np.flatnonzero(rough == lms[-1])[0] + 1
-    if after < len(new):
-        new[after] = True
+    long[lms] = np.append(lms[1:] + 1, n) - lms
+    new = np.concatenate(([True], ~_alike(text, rough, long[rough])))
+    last = np.flatnonzero(rough == lms[-1])[0]  # it ends with the text, which is a letter of its own
+    new[last : last + 2] = True
     names = np.cumsum(new) - 1
     if names[-1] + 1 == len(lms):
         ordered = rough
@@ -165,21 +179,31 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     return induce(text, small, ordered, size)
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes: for every position, what it shares with the suffix before it in order, up to ``most``."""
-    n = len(text)
+def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, whole: np.ndarray | None = None) -> np.ndarray:
+    """Permuted common prefixes: for every position, what it shares with the suffix before it in order, up to ``most``.
+
+    With ``whole``, 0 unless both suffixes are marked in it. Letters are compared eight bytes at a time, so ``text`` may be bytes or wider integers.
+    """
+    n, step = len(text), 8 // text.dtype.itemsize
+    raw = np.concatenate((text, np.zeros(step, text.dtype))).tobytes()
+    words = np.ndarray((n,), "<u8", raw, strides=(text.dtype.itemsize,))
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int64)
-    live = np.flatnonzero(phi >= 0)
-    for k in range(most):
-        a, b = live + k, phi[live] + k
-        inside = (a < n) & (b < n)
-        live, a, b = live[inside], a[inside], b[inside]
-        live = live[text[a] == text[b]]
-        out[live] = k + 1
-        if not len(live):
-            break
+    live = np.flatnonzero(phi >= 0 if whole is None else (phi >= 0) & whole & whole[phi])
+    other = phi[live]
+    for k in range(0, most, step):
+        room = n - np.maximum(live, other) - k
+        inside = room > 0
+        live, other, room = live[inside], other[inside], room[inside]
+        differ = words[live + k] ^ words[other + k]
+        equal = np.full(len(live), step)
+        some = np.flatnonzero(differ)
+        low = differ[some] & (~differ[some] + _U(1))  # the lowest bit that differs
+        equal[some] = np.log2(low.astype(np.float64)).astype(np.int64) // (8 * text.dtype.itemsize)
+        out[live] = np.minimum(k + np.minimum(equal, room), most)
+        whole = (equal == step) & (room > step)
+        live, other = live[whole], other[whole]
     return out
 
 
@@ -188,14 +212,14 @@ def smallest(passages: list[bytes], owner: np.ndarray) -> np.ndarray:
     sizes = np.fromiter(map(len, passages), np.int64, len(passages))
     starts = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes + 1, out=starts[1:])
-    text = np.frombuffer(b"\0".join(passages) + b"\0", np.uint8).astype(np.int32)
+    text = np.frombuffer(b"\0".join(passages) + b"\0", np.uint8).astype(np.uint16)
     text[starts[1:] - 1] = 256
     whole = np.zeros(len(text), bool)
     runs = sizes - LENGTH + 1
     at = np.repeat(starts[:-1], runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
     whole[at] = True
     sa = suffix_array(text, 257)
-    same = common_prefixes(text, sa, LENGTH) >= LENGTH
+    same = common_prefixes(text, sa, LENGTH, whole) >= LENGTH
     ordered = sa[whole[sa]]
     of = np.full(len(text), _LAST, np.int64)
     of[at] = np.repeat(owner, runs)
@@ -211,46 +235,50 @@ def smallest(passages: list[bytes], owner: np.ndarray) -> np.ndarray:
 
 
 class Passages:
-    """The passages of a block's texts: start, runs (windows), anchor, key (of the whole passage), doc."""
+    """The passages of a block's texts: start, runs (windows), anchor, key (of the whole passage), doc, offset (of the anchor)."""
 
     def __init__(self, texts: list[bytes]):
         self.data, self.starts = textnum.joined(texts)
         data, found, n = self.data, [], len(self.data)
         step = textnum.CHUNK - 4096
-        low = (1 << 22) - 1
-        limit = self.starts[1:] - 1 - LENGTH
+        low = _U((1 << 22) - 1)
+        ends = np.zeros(n + 1, np.int8)  # windows start anywhere but in the last bytes of a text
+        np.add.at(ends, self.starts[:-1], 1)
+        np.add.at(ends, np.maximum(self.starts[:-1], self.starts[1:] - LENGTH), -1)
+        inside = np.cumsum(ends[:-1], dtype=np.int8) > 0
+        slots = np.arange(step + SPAN, dtype=_U)
         for base in range(0, max(0, n - LENGTH), step):
             part = data[base : base + step + LENGTH - 1]
+            if len(part) < LENGTH:
+                continue
             sums, (_, down) = textnum.prefix(part), textnum.powers(len(part) + 1)
-            grams = textnum.mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(part) - GRAM + 1])
-            v = (grams & ~_U(low)) | np.arange(len(grams), dtype=_U)
+            grams = sums[GRAM:] - sums[:-GRAM]
+            grams *= down[: len(grams)]
+            grams = textnum.mixed(grams)
+            v = grams & ~low
+            v |= slots[: len(v)]
             width = 1
             while 2 * width <= SPAN:
                 v = np.minimum(v[:-width], v[width:])
                 width *= 2
             if width < SPAN:
                 v = np.minimum(v[: len(v) - (SPAN - width)], v[SPAN - width :])
-            least = (v & _U(low)).astype(np.int64)
-            if not len(least):
-                continue
-            place = np.arange(base, base + len(least))
-            doc = np.searchsorted(self.starts, place, "right") - 1
-            valid = place <= limit[doc]
-            head = valid.copy()
-            head[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(head)
+            valid = inside[base : base + len(v)]
+            change = np.flatnonzero((v[1:] != v[:-1]) | (valid[1:] != valid[:-1])) + 1
+            first = np.concatenate(([0], change))
+            runs = np.diff(first, append=len(v))
+            first, runs = first[valid[first]], runs[valid[first]]
             if not len(first):
                 continue
-            last = valid.copy()
-            last[:-1] &= ~valid[1:] | head[1:]
-            runs = np.flatnonzero(last) - first + 1
+            least = (v[first] & low).astype(np.int64)
             end = first + runs - 1 + LENGTH
             key = textnum.mixed((sums[end] - sums[first]) * down[first] + runs.astype(_U))
-            found.append((first + base, runs, grams[least[first]], key, doc[first]))
+            # smallest hashes start with zeros; mixed again, they fall evenly into hash ranges
+            found.append((first + base, runs, textnum.mixed(grams[least] ^ _U(textnum.BASE)), key, np.searchsorted(self.starts, first + base, "right") - 1, least - first))
         if found:
-            self.start, self.runs, self.anchor, self.key, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            self.start, self.runs, self.anchor, self.key, self.doc, self.offset = (np.concatenate(x) for x in zip(*found, strict=True))
         else:
-            self.start = self.runs = self.doc = np.zeros(0, np.int64)
+            self.start = self.runs = self.doc = self.offset = np.zeros(0, np.int64)
             self.anchor = self.key = np.zeros(0, _U)
 
     def anchors(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +341,7 @@ def _sent(parts: int):
         rows = dict(zip(answers.column("part").to_pylist(), answers.column("data"), strict=True))
         ids, texts = blocks.opened(table.column("data")[0].as_py())
         own, shared = Passages(texts), _shared(rows)
-        _, _, members, least = own.distinct(shared, _ids(ids))
+        order, which, members, least = own.distinct(shared, _ids(ids))
         data = own.data.tobytes()
         cuts = textnum.bounds((own.anchor[members] >> _U(16)) << _U(16), parts).tolist() + [len(members)]
         for p in range(parts):
@@ -322,33 +350,60 @@ def _sent(parts: int):
                 sizes = own.runs[some] + LENGTH - 1
                 text = b"".join([data[s : s + n] for s, n in zip(own.start[some].tolist(), sizes.tolist(), strict=True)])
                 fine = own.anchor[some] << _U(parts.bit_length() - 1) >> _U(24)  # the 40 bits of the anchor after those of the shard
-                yield block, p, blocks.shut((sizes.astype(np.uint8), blocks.planes(fine, 5), blocks.planes(least[cuts[p] : cuts[p + 1]].view(_U), 8), text))
-        yield block, -1, blocks.shut(blocks.steps(shared, 6))
+                yield block, p, blocks.shut((sizes.astype(np.uint8), own.offset[some].astype(np.uint8), blocks.planes(fine, 5), blocks.planes(least[cuts[p] : cuts[p + 1]].view(_U), 8), text))
+        yield block, -1, blocks.shut((blocks.planes(own.start[order], 4), own.runs[order].astype(np.uint8), np.packbits(np.diff(which, prepend=-1).astype(bool))))
 
     return send
 
 
+def meeting(passages: list[bytes], offset: np.ndarray) -> np.ndarray:
+    """Whether each distinct passage can share a window with another one.
+
+    A window reaches SIDE bytes before its anchor or as many behind it. So passages that share one
+    have in common the anchor with the SIDE bytes on one of its sides; hashes of these tell.
+    """
+    lengths = np.fromiter(map(len, passages), np.int64, len(passages))
+    data, starts = np.frombuffer(b"".join(passages), np.uint8), np.cumsum(lengths) - lengths
+    up = textnum.powers(SIDE + GRAM)[0][: SIDE + GRAM]
+    sides = []
+    for tag, low, fits in ((1, starts + offset - SIDE, offset >= SIDE), (2, starts + offset, offset + GRAM + SIDE <= lengths)):
+        who = np.flatnonzero(fits)
+        keys = np.empty(len(who), _U)
+        for k in range(0, len(who), 1 << 14):
+            at = low[who[k : k + (1 << 14)], None] + np.arange(SIDE + GRAM)
+            keys[k : k + (1 << 14)] = ((data[at].astype(_U) + _U(tag)) * up).sum(axis=1, dtype=_U)
+        sides.append((who, textnum.mixed(keys ^ _U(tag))))
+    who, keys = (np.concatenate(x) for x in zip(*sides, strict=True))
+    order = np.argsort(keys, kind="stable")
+    equal = keys[order][1:] == keys[order][:-1]
+    out = np.zeros(len(passages), bool)
+    out[who[order[1:][equal]]] = out[who[order[:-1][equal]]] = True
+    return out
+
+
 def _owned(part: int, table: pa.Table) -> Iterator[tuple]:
     """Answer every block with the smallest id for each window of its passages.
 
-    Passages that share a window share the anchor. So the only passage of an anchor needs no
-    sorting, and the others are sorted in runs of anchors, each with a suffix array of its own,
-    which bounds a worker's memory.
+    Passages that share a window share the anchor and the bytes on one side of it. Those that meet
+    no other passage so need no sorting; the others are sorted in runs of anchors, each with a
+    suffix array of its own, which bounds a worker's memory.
     """
     number: dict[bytes, int] = {}
     least: list[int] = []
     fine: list[int] = []
+    offset: list[int] = []
     asked = []
     for block, blob in zip(table.column("block").to_pylist(), table.column("data"), strict=True):
-        sizes, bits, ids, text = blocks.opened(blob.as_py())
+        sizes, spots, bits, ids, text = blocks.opened(blob.as_py())
         ids, bits, at, mine = blocks.unplanes(ids, 8).view(np.int64).tolist(), blocks.unplanes(bits, 5), 0, []
-        for size, bit, doc_id in zip(sizes.tolist(), bits.tolist(), ids, strict=True):
+        for size, spot, bit, doc_id in zip(sizes.tolist(), spots.tolist(), bits.tolist(), ids, strict=True):
             passage = text[at : at + size]
             at += size
             k = number.setdefault(passage, len(least))
             if k == len(least):
                 least.append(doc_id)
                 fine.append(bit)
+                offset.append(spot)
             elif doc_id < least[k]:
                 least[k] = doc_id
             mine.append(k)
@@ -361,10 +416,7 @@ def _owned(part: int, table: pa.Table) -> Iterator[tuple]:
     first = np.cumsum(runs) - runs
     low = np.repeat(owner, runs)
     order = np.argsort(of, kind="stable")
-    alone = np.ones(len(order), bool)
-    alone[1:] &= of[order][1:] != of[order][:-1]
-    alone[:-1] &= of[order][1:] != of[order][:-1]
-    order = order[~alone]
+    order = order[meeting(passages, np.array(offset, np.int64))[order]]
     edge = np.flatnonzero(np.concatenate((of[order][1:] != of[order][:-1], [True]))) + 1 if len(order) else np.zeros(0, np.int64)
     start, total = 0, np.cumsum(lengths[order])
     for stop, after in zip(edge.tolist(), [*edge[1:].tolist(), None], strict=False):
@@ -384,27 +436,27 @@ def _removed(outputs: tuple[str, ...]):
     def remove(block: int, table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
         rows = dict(zip(answers.column("part").to_pylist(), answers.column("data"), strict=True))
         ids, texts = blocks.opened(table.column("data")[0].as_py())
-        shared = blocks.unsteps(blocks.opened(rows.pop(-1).as_py()), 6)
-        own, numbers = Passages(texts), _ids(ids)
-        gone = np.zeros(len(own.data) + 1, np.int8)  # windows that start here less windows that ended: a sum of at most 50
-        order, which, members, _ = own.distinct(shared, numbers)
-        if len(order):
+        start, runs, head = blocks.opened(rows.pop(-1).as_py())
+        start, runs = blocks.unplanes(start, 4).astype(np.int64), runs.astype(np.int64)
+        head = np.unpackbits(head, count=len(runs)).astype(bool)
+        (data, starts), numbers = textnum.joined(texts), _ids(ids)
+        gone = np.zeros(len(data) + 1, np.int8)  # windows that start here less windows that ended: a sum of at most 50
+        if len(start):
             low = np.concatenate([blocks.unplanes(blocks.opened(rows[p].as_py()), 8) for p in sorted(rows)]).view(np.int64)
-            first = np.cumsum(own.runs[members]) - own.runs[members]
-            runs = own.runs[order]
+            first = np.cumsum(runs[head]) - runs[head]
             nth = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-            hit = low[np.repeat(first[which], runs) + nth] < np.repeat(numbers[own.doc[order]], runs)
-            at = (np.repeat(own.start[order], runs) + nth)[hit]
+            doc = np.searchsorted(starts, start, "right") - 1
+            hit = low[np.repeat(first[np.cumsum(head) - 1], runs) + nth] < np.repeat(numbers[doc], runs)
+            at = (np.repeat(start, runs) + nth)[hit]
             gone[at] += 1
             gone[at + LENGTH] -= 1
         mask = np.cumsum(gone[:-1], dtype=np.int8) > 0
         edge = mask & ~np.concatenate(([False], mask[:-1]))
-        starts = own.starts
         n_removed, n_spans = (np.add.reduceat(x, starts[:-1], dtype=np.int64) if len(ids) else [] for x in (mask, edge))
         for i, doc_id in enumerate(ids):
             low, high = starts[i], starts[i + 1] - 1
             row: list = [doc_id]
-            kept = texts[i] if not n_removed[i] else own.data[low:high][~mask[low:high]].tobytes()
+            kept = texts[i] if not n_removed[i] else data[low:high][~mask[low:high]].tobytes()
             for name in outputs:
                 if name == "spans":
                     change = np.flatnonzero(np.diff(np.concatenate(([0], mask[low:high].astype(np.int8), [0]))))
