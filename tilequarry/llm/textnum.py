@@ -34,6 +34,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+#: A random number for every byte at every place modulo 64. The hash of a word is their sum; a polynomial
+#: modulo 2**64 would give some different long words of two letters the same hash, whatever its base.
+LETTERS = mixed(np.arange(64 * 256, dtype=_U) + _U(BASE))
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts in one byte array, a blank after each, and where each starts."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -68,8 +73,14 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         blank[0], blank[1:] = True, BLANK[part]
         edges = np.flatnonzero(blank[1:] != blank[:-1])
         s, e = edges[0::2], edges[1::2]
-        sums, (_, down) = prefix(part), powers(len(part) + 1)
-        found.append((s + at, e + at, mixed((sums[e] - sums[s]) * down[s])))
+        size = e - s
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        letters = LETTERS[(place & 63) << 8 | part[~blank[1:]]]
+        far = np.flatnonzero(place >= 64)
+        letters[far] *= mixed((place[far] >> 6).astype(_U)) | _U(1)
+        sums = np.add.reduceat(letters, first) if len(s) else np.zeros(0, _U)
+        found.append((s + at, e + at, mixed(sums ^ (size.astype(_U) * _U(BASE)))))
         at = end
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
