@@ -75,7 +75,7 @@ def ranges(df: DataFrame) -> int:
     return n
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of the rows, of about ``limit`` bytes."""
     held: list[tuple] = []
     size = 0

@@ -22,7 +22,7 @@ ADDED, PRIOR = 0.1, 10.0
 #: Counts are held as powers of RATIO; bits and probes for each entry.
 RATIO, BITS, PROBES = 1.6, 12, 5
 #: Bytes of text in a block.
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 #: Largest filter that is broadcast; beyond it, probes travel to the filter's segments.
 MAX_BROADCAST = 256 << 20
 
@@ -128,7 +128,7 @@ class Filter:
         return out
 
 
-def slices(texts: list[bytes], limit: int = 2 << 20) -> Iterator[slice]:
+def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[slice]:
     """Runs of texts of about ``limit`` bytes, which bound the arrays of a worker."""
     low = size = 0
     for i, text in enumerate(texts):
