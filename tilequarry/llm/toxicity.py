@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilequarry.llm import blocks, textnum
+from tilequarry.llm import blocks, scratch, textnum
 
 #: Labelled rows of folds other than 0 of FOLDS teach; at most SAMPLE of them, by the hash of their id.
 FOLDS, SAMPLE = 5, 20_000
@@ -139,10 +139,11 @@ class Model:
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit: pooled adjacent violators, each pool at its mean margin."""
-    order = np.argsort(margin, kind="stable")
+    place, which = np.unique(margin, return_inverse=True)
+    count = np.bincount(which).astype(float)
     pools: list[list[float]] = []
-    for m, v in zip(margin[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([m, v, 1.0])
+    for m, v, n in zip((place * count).tolist(), np.bincount(which, y).tolist(), count.tolist(), strict=True):
+        pools.append([m, v, n])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
@@ -192,6 +193,22 @@ def boosted(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
+def calibrated(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> Model:
+    """Trees of all rows, calibrated by the margins that trees of the other parts give each part.
+
+    So every row calibrates, at every size, and none by trees that have seen it. Without rows the
+    model is constant and needs no calibration.
+    """
+    model = boosted(x, y)
+    if len(y):
+        margin = np.empty(len(y))
+        for k in np.unique(part):
+            other = part != k
+            margin[~other] = (boosted(x[other], y[other]) if other.any() else model).margin(x[~other])
+        model.knots = isotonic(margin, y)
+    return model
+
+
 # -- Spark -----------------------------------------------------------------------------------------
 
 
@@ -210,8 +227,10 @@ def _distinct(block: int, ids: list, texts: list[bytes]) -> Iterator[tuple]:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Model]:
     """The learned lexicon and the model, from at most SAMPLE labelled rows outside fold 0.
 
-    A third of the sample chooses the words, half grows the trees, the rest calibrates, so that
-    no word is judged by the rows that chose it.
+    A third of the sample chooses the words, the rest grows and calibrates the trees, so that no
+    word is judged by the rows that chose it. Of documents that share an id the one of the smallest
+    text hash counts, so the driver gets at most a row of features an id. Without telling words
+    the features of the learned lexicon are 0.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold % FOLDS != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -221,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Model]:
     role = np.array([zlib.crc32(b"role%d" % i) % 6 for i in chosen["doc_id"].tolist()])
     truth = dict(zip(chosen["doc_id"].tolist(), chosen["toxic"].tolist(), strict=True))
     table = F.broadcast(docs.sparkSession.createDataFrame([(int(i), int(t), int(r)) for (i, t), r in zip(truth.items(), role, strict=True)], "_id bigint, _toxic int, _role int"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(table, F.col("doc_id") == F.col("_id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(table, F.col("doc_id") == F.col("_id"))
+    own = scratch.store(own.groupBy("doc_id", "_role").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
     words = blocks.scanned(own.where("_role < 2").select("doc_id", "text"), _distinct, "doc_id bigint, words array<bigint>")
     n_toxic = sum(t for t, r in zip(truth.values(), role, strict=True) if r < 2)
     n_clean = int((role < 2).sum()) - n_toxic
@@ -241,11 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Model]:
     order = np.lexsort((*x.T, ids))
     ids, x = ids[order], x[order]
     y = np.array([truth[i] for i in ids.tolist()], float)
-    last = np.array([zlib.crc32(b"role%d" % i) % 6 == 5 for i in ids.tolist()])
-    model = boosted(x[~last], y[~last])
-    if last.sum() >= 200 and 0 < y[last].sum() < last.sum():
-        model.knots = isotonic(model.margin(x[last]), y[last])
-    return learned, model
+    return learned, calibrated(x, y, np.array([zlib.crc32(b"role%d" % i) % 6 for i in ids.tolist()]))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
