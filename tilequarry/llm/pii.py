@@ -30,8 +30,8 @@ REACH = 64
 #: Different entities that a term must be near, and the shares of the most information that a term
 #: can give about an entity's presence from which on it is generalised or removed.
 MIN_ENTITIES, GENERALISE, REMOVE = 5, 0.9, 0.98
-#: Most disclosing terms that are carried in the plan; more is an error, not a silent cut.
-MOST_TERMS = 1_000_000
+#: Up to this many disclosing terms are literals of the plan; beyond, texts meet them in a join.
+INLINE = 200
 _SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
@@ -114,23 +114,23 @@ def near_terms(text: Column, base: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Add _text, _base and _near to every document."""
-    df = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    df = df.withColumn("_base", base_spans(F.col("_text")))
-    return df.withColumn("_near", near_terms(F.col("_text"), F.col("_base")))
+    """row (a struct of the columns of ``docs``), text (a null empty), base and near of every document."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    df = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return df.withColumn("base", base_spans(F.col("text"))).withColumn("near", near_terms(F.col("text"), F.col("base")))
 
 
 def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     """Terms that reveal entities: term, entities, near_n, n, bits, share.
 
-    ``near`` has the _near of every document. A term's bits are the pointwise mutual information
+    ``near`` has the near of every document. A term's bits are the pointwise mutual information
     of "this token is the term" and "this token lies near an entity", over all tokens of the
     corpus; its share is the bits over the most that they could be. Copies of one entity count as
     one, so that repeated text does not make its words look telling.
     """
-    tokens = near.where(F.size("_near") > 0)
-    entities = tokens.select(F.explode("_near").alias("x")).groupBy("x.term").agg(F.count_distinct("x.ent").alias("entities"))
-    places = tokens.select(F.explode(F.array_distinct(F.transform("_near", lambda x: F.struct(x["s"].alias("s"), x["term"].alias("term"))))).alias("x"))
+    tokens = near.where(F.size("near") > 0)
+    entities = tokens.select(F.explode("near").alias("x")).groupBy("x.term").agg(F.count_distinct("x.ent").alias("entities"))
+    places = tokens.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["s"].alias("s"), x["term"].alias("term"))))).alias("x"))
     counted = places.groupBy("x.term").agg(F.count(F.lit(1)).alias("near_n"))
     candidates = scratch.store(entities.join(counted, "term").select("term", "entities", "near_n"), "terms")
     near_total = candidates.agg(F.sum("near_n")).first()[0] or 0
@@ -149,21 +149,30 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     return likely.join(counts, F.col("term") == F.col("_t")).select("term", "entities", "near_n", "n", bits.alias("bits"), F.when(most > 0, bits / most).otherwise(F.lit(0.0)).alias("share")).where(F.col("share") >= GENERALISE)
 
 
-def terms_of(docs: DataFrame, near: DataFrame) -> dict[str, bool]:
-    """The disclosing terms, and whether each is removed (else generalised)."""
-    rows = disclosing(docs, near).select("term", "share").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} disclosing terms: raise GENERALISE or MIN_ENTITIES")
-    return {r["term"]: r["share"] >= REMOVE for r in rows}
+def with_told(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """Add told and gone, the disclosing terms and those to be removed, for found documents; null or empty where a text has none.
 
-
-def all_spans(terms: dict[str, bool]) -> Column:
+    Up to INLINE terms are literals of the plan, alike for every document. Beyond, the words of
+    each text (by its hash) meet the stored terms in a join, and a document carries those of its own.
+    """
+    few = terms.limit(INLINE + 1).collect()
+    strings = "array<string>"
+    if len(few) <= INLINE:
+        listed_terms = lambda keep: F.array(*[F.lit(r["term"]) for r in few if keep(r)]).cast(strings)
+        return df.withColumns({"told": listed_terms(lambda r: True), "gone": listed_terms(lambda r: r["share"] >= REMOVE)})
+    keyed = df.withColumn("key", F.xxhash64("text"))
+    words = keyed.select("key", F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}]+"), F.lower))).alias("word"))
+    met = words.join(terms.select("term", "share"), F.col("word") == F.col("term"))
+    own = met.groupBy(F.col("key").alias("_key")).agg(F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
+    return keyed.join(own, F.col("key") == F.col("_key"), "left").drop("key", "_key")
+
+
+def all_spans() -> Column:
     """Base spans and every disclosing term of the text outside them, near an entity or not, by start, then kind."""
-    if not terms:
-        return F.col("_base")
-    told = located(F.col("_text"), r"\p{L}+", 4, lambda m: F.lower(m).isin(list(terms)))
-    clear = F.filter(told, lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return F.sort_array(F.concat(F.col("_base"), F.transform(clear, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lower(x["m"]).alias("m")))))
+    told = located(F.col("text"), r"\p{L}+", 4, lambda m: F.array_contains("told", F.lower(m)))
+    clear = F.filter(told, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    both = F.sort_array(F.concat(F.col("base"), F.transform(clear, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lower(x["m"]).alias("m")))))
+    return F.when(F.size(F.coalesce(F.col("told"), F.array().cast("array<string>"))) > 0, both).otherwise(F.col("base"))
 
 
 def listed(spans: Column) -> Column:
@@ -178,12 +187,16 @@ def find(docs: DataFrame) -> DataFrame:
     A null text is empty; an empty table gives an empty result; other columns are ignored.
     """
     whole = found(docs.select("doc_id", "text"))
-    own = scratch.store(whole.select("doc_id", "_base", "_near"), "pii")
-    terms = terms_of(docs, own)
-    own = whole if terms else own  # terms are looked up in the texts, which are read again rather than stored
-    kinds = F.transform("_base", lambda x: x["k"])
-    counts = [(F.size("_base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
-    return own.select("doc_id", *counts, F.col("_base").alias("base"), all_spans(terms).alias("spans"))
+    own = scratch.store(whole.select(F.col("row.doc_id").alias("doc_id"), "base", "near"), "pii")
+    terms = scratch.store(disclosing(docs, own), "disclosing")
+    if terms.limit(1).count():
+        # terms are looked up in the texts, which are read again rather than stored
+        own = with_told(whole, terms).withColumn("doc_id", F.col("row.doc_id")).withColumn("spans", all_spans())
+    else:
+        own = own.withColumn("spans", F.col("base"))
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
+    return own.select("doc_id", *counts, "base", "spans")
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -193,24 +206,23 @@ def sanitised(docs: DataFrame) -> DataFrame:
     column, follows the new text; other columns and texts without a span stay as they are.
     """
     df = found(docs)
-    terms = terms_of(docs, scratch.store(df.where(F.size("_base") > 0).select("_near"), "pii"))
-    df = df.withColumn("_spans", all_spans(terms))
+    terms = scratch.store(disclosing(docs, scratch.store(df.where(F.size("base") > 0).select("near"), "pii")), "disclosing")
+    df = with_told(df, terms).withColumn("spans", all_spans())
     start = F.struct(F.lit(0).alias("to"), _none().alias("out"))
     keep = lambda now, x: F.when(x["s"] >= now["to"], F.struct(x["e"].alias("to"), F.concat(now["out"], F.array(x)).alias("out"))).otherwise(now)
-    df = df.withColumn("_clear", F.aggregate("_spans", start, keep, lambda end: end["out"]))
-    gone = [t for t, removed in terms.items() if removed]
+    df = df.withColumn("clear", F.aggregate("spans", start, keep, lambda end: end["out"]))
     labels = F.array(*[F.lit(LABELS[k]) for k in KINDS[:4]], F.lit("<TERM>"))
 
     def piece(x: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get("_clear", i - 1)["e"]).otherwise(F.lit(0))
-        shown = F.element_at(labels, x["k"] + 1)
-        if gone:
-            shown = F.when((x["k"] == 4) & x["m"].isin(gone), F.lit("")).otherwise(shown)
-        return F.concat(F.substring("_text", before + 1, x["s"] - before), shown)
-
-    end = F.element_at("_clear", -1)["e"]
-    clean = F.concat(F.array_join(F.transform("_clear", piece), ""), F.substring("_text", end + 1, F.length("_text")))
-    text = F.when(F.size("_clear") > 0, clean).otherwise(F.col("text"))
-    df = df.withColumn("_clean", text)
-    out = {"text": F.col("_clean"), "n_chars": F.when(F.size("_clear") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))}
-    return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+        before = F.when(i > 0, F.get("clear", i - 1)["e"]).otherwise(F.lit(0))
+        shown = F.when((x["k"] == 4) & F.array_contains("gone", x["m"]), F.lit("")).otherwise(F.element_at(labels, x["k"] + 1))
+        return F.concat(F.substring("text", before + 1, x["s"] - before), shown)
+
+    end = F.element_at("clear", -1)["e"]
+    clean = F.concat(F.array_join(F.transform("clear", piece), ""), F.substring("text", end + 1, F.length("text")))
+    some = F.size("clear") > 0
+    df = df.withColumn("clean", F.when(some, clean).otherwise(F.col("row.text").cast("string")))
+    out = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(some, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return df.select(*[out[c].alias(c) if c in out else F.col(f"row.`{c}`") for c in docs.columns])
