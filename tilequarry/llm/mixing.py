@@ -141,16 +141,16 @@ def taken(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it, rows not taken left out.
 
-    All columns stay; the decisions of ``copies`` take effect. Rows meet their decision by doc_id,
-    source and the text's hash; rows that agree in these are told apart by their number.
+    All columns stay, whatever their names; the decisions of ``copies`` take effect. Rows meet their
+    decision by doc_id, source and the text's hash; rows that agree in these are told apart by their
+    number. Texts without words are left out; a null source is a source; an empty table stays empty.
     """
-    names = docs.columns
-    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__source", F.col("source").cast("string")).withColumn("__fp", fingerprint(F.col("text")))
-    nth = F.row_number().over(Window.partitionBy("__doc", "__source", "__fp").orderBy(F.lit(0)))
-    keyed = keyed.withColumn("__nth", nth)
-    plan = copies(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("fp").alias("_f"), "times", "extras").where((F.col("times") > 0) | (F.col("extras") > 0))
-    plan = plan.select(F.col("_d").alias("__pd"), F.col("_s").alias("__ps"), F.col("_f").alias("__pf"), F.col("times").alias("__times"), F.col("extras").alias("__extras"))
-    met = keyed.join(plan, F.col("__doc").eqNullSafe(F.col("__pd")) & F.col("__source").eqNullSafe(F.col("__ps")) & (F.col("__fp") == F.col("__pf")))
-    times = F.col("__times") + (F.col("__nth") <= F.col("__extras")).cast("long")
-    met = met.withColumn("__copies", times).where(F.col("__copies") > 0)
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{n}`") for n in names])
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc"), F.col("source").cast("string").alias("source"), fingerprint(F.col("text")).alias("fp"))
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "source", "fp").orderBy(F.lit(0))))
+    plan = copies(docs).where((F.col("times") > 0) | (F.col("extras") > 0))
+    plan = plan.select(F.col("doc_id").alias("plan_doc"), F.col("source").alias("plan_source"), F.col("fp").alias("plan_fp"), "times", "extras")
+    met = keyed.join(plan, F.col("doc").eqNullSafe(F.col("plan_doc")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("fp") == F.col("plan_fp")))
+    taken_times = F.col("times") + (F.col("nth") <= F.col("extras")).cast("long")
+    met = met.withColumn("copies", taken_times).where(F.col("copies") > 0)
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
