@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text in a block, from which on a block is closed.
 BLOCK = 24 << 20
-#: Bytes of stored input for each hash range.
-RANGE = 8 << 20
+#: Bytes of stored input for each hash range, and most ranges.
+RANGE, MOST_RANGES = 8 << 20, 1 << 16
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 
 
@@ -70,7 +70,7 @@ def ranges(df: DataFrame) -> int:
     if size >= 1 << 55:
         size = RANGE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = 8
-    while n < min(1 << 16, size // RANGE):
+    while n < min(MOST_RANGES, size // RANGE):
         n *= 2
     return n
 

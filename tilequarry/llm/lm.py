@@ -21,6 +21,8 @@ FOLDS = 10
 ADDED, PRIOR = 0.1, 10.0
 #: Counts are held as powers of RATIO; bits and probes for each entry.
 RATIO, BITS, PROBES = 1.6, 12, 5
+#: Segments of the filter, by the upper bits of the keys; at least as many as there can be hash ranges.
+SEGMENTS, SEGMENT_SHIFT = blocks.MOST_RANGES, _U(64 - (blocks.MOST_RANGES.bit_length() - 1))
 #: Bytes of text in a block.
 BLOCK = 6 << 20
 #: Largest filter that is broadcast; beyond it, probes travel to the filter's segments.
@@ -77,21 +79,29 @@ def _spots(keys: np.ndarray, q: int, tag: int, bits: np.ndarray | int) -> Iterat
         yield (first + _U(i) * second) % np.asarray(bits, _U)
 
 
-def segment(words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """The filter's bits for a hash range: an entry (n-gram, j) for every j up to the level of its count."""
-    levels = [(keys, level(counts)) for keys, counts in (words, grams)]
-    size = max(64, BITS * int(sum(q.sum() for _, q in levels)))
-    size += -size % 8
-    flags = np.zeros(size, bool)
-    for tag, (keys, q) in enumerate(levels):
+def segment(words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], part: int = 0, parts: int = 1) -> bytes:
+    """The filter's bits for a hash range: an entry (n-gram, j) for every j up to the level of its count.
+
+    The filter has SEGMENTS segments, each sized by its own entries, whatever the ranges are; so
+    its false positives depend on the n-grams alone. A range's are its sizes, in bits, and then
+    its bits.
+    """
+    n = SEGMENTS // parts
+    levels = [(keys, level(counts), (keys >> SEGMENT_SHIFT).astype(np.int64) - part * n) for keys, counts in (words, grams)]
+    entries = sum(np.bincount(of, q, n) for _, q, of in levels).astype(np.int64)
+    sizes = np.maximum(64, BITS * entries + -(BITS * entries) % 8)
+    starts = np.cumsum(sizes) - sizes
+    flags = np.zeros(int(sizes.sum()), bool)
+    for tag, (keys, q, of) in enumerate(levels):
         for j in range(1, int(q.max(initial=0)) + 1):
-            for spot in _spots(keys[q >= j], j, tag, size):
-                flags[spot.astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little").tobytes()
+            some = q >= j
+            for spot in _spots(keys[some], j, tag, sizes[of[some]]):
+                flags[spot.astype(np.int64) + starts[of[some]]] = True
+    return sizes.astype("<u4").tobytes() + np.packbits(flags, bitorder="little").tobytes()
 
 
 class Filter:
-    """Segments of the filter by hash range."""
+    """The filter's segments, from the ranges at hand; n-grams of other ranges count as absent."""
 
     def __init__(self, segments: dict[int, bytes] | tuple, parts: int):
         """``segments`` by range, or all of them as (bytes, range -> start and length), which are used in place."""
@@ -102,19 +112,21 @@ class Filter:
                 data += bits
         else:
             data, places = segments
+        n = SEGMENTS // parts
         self.data = np.frombuffer(data, np.uint8) if len(data) else np.zeros(8, np.uint8)
-        self.start, self.bits = np.zeros(parts, np.int64), np.zeros(parts, _U)
+        self.start, self.bits = np.zeros(SEGMENTS, np.int64), np.zeros(SEGMENTS, _U)
         for part, (start, size) in places.items():
-            self.start[part], self.bits[part] = start * 8, size * 8
+            if size:
+                own, sizes = slice(part * n, (part + 1) * n), np.frombuffer(data, "<u4", n, start).astype(np.int64)
+                self.bits[own] = sizes
+                self.start[own] = (start + 4 * n) * 8 + np.cumsum(sizes) - sizes
         self.there = self.bits > 0
         self.bits[~self.there] = 1
-        self.shift = 64 - (parts.bit_length() - 1)
-        self.parts = parts
 
     def levels(self, keys: np.ndarray, tag: int) -> np.ndarray:
         """The level of each key: probes for level 1, 2, ... until one misses."""
         out = np.zeros(len(keys), np.int64)
-        part = (keys >> _U(self.shift)).astype(np.int64) if self.parts > 1 else np.zeros(len(keys), np.int64)
+        part = (keys >> SEGMENT_SHIFT).astype(np.int64)
         live, q = np.flatnonzero(self.there[part]), 1
         while len(live) and q < len(DECODED):
             there = part[live]
@@ -167,17 +179,21 @@ def _gathered(parts: int):
     return gather
 
 
-def _counted(part: int, table: pa.Table) -> Iterator[tuple]:
-    """Counts of a hash range: an answer to every block, and the range's segment of the filter."""
-    asked = [blocks.opened(x.as_py()) for x in table.column("data")]
-    of = table.column("block").to_pylist()
-    words = [blocks.unsteps(a[0], 8) for a in asked]
-    known, n = textnum.tally(np.concatenate(words), np.concatenate([blocks.unplanes(a[1], 4) for a in asked]).astype(np.int64))
-    grams, times = textnum.tally(np.concatenate([blocks.unsteps(a[2], 6) for a in asked]) << _U(16), np.concatenate([blocks.unplanes(a[3], 4) for a in asked]).astype(np.int64))
-    for block, own in zip(of, words, strict=True):
-        yield block, part, blocks.shut(blocks.planes(n[np.searchsorted(known, own)], 6)), 0, 0
-    seen = n > 0
-    yield -1, part, segment((known[seen], n[seen]), (grams, times)), int(n.sum()), int(seen.sum())
+def _counted(parts: int):
+    """Counts of a hash range: an answer to every block, and the range's segments of the filter."""
+
+    def count(part: int, table: pa.Table) -> Iterator[tuple]:
+        asked = [blocks.opened(x.as_py()) for x in table.column("data")]
+        of = table.column("block").to_pylist()
+        words = [blocks.unsteps(a[0], 8) for a in asked]
+        known, n = textnum.tally(np.concatenate(words), np.concatenate([blocks.unplanes(a[1], 4) for a in asked]).astype(np.int64))
+        grams, times = textnum.tally(np.concatenate([blocks.unsteps(a[2], 6) for a in asked]) << _U(16), np.concatenate([blocks.unplanes(a[3], 4) for a in asked]).astype(np.int64))
+        for block, own in zip(of, words, strict=True):
+            yield block, part, blocks.shut(blocks.planes(n[np.searchsorted(known, own)], 6)), 0, 0
+        seen = n > 0
+        yield -1, part, segment((known[seen], n[seen]), (grams, times), part, parts), int(n.sum()), int(seen.sum())
+
+    return count
 
 
 def _asked(parts: int):
@@ -255,7 +271,7 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     parts = blocks.ranges(docs)
     rows = "block bigint, part int, data binary"
     stored = scratch.dealt(blocks.scanned(docs, _gathered(parts), rows + ", texts bigint", BLOCK), "block", parts)
-    counted = scratch.store(blocks.grouped(stored.where(F.col("part") >= 0), "part", _counted, rows + ", tokens bigint, types bigint"), "counts")
+    counted = scratch.store(blocks.grouped(stored.where(F.col("part") >= 0), "part", _counted(parts), rows + ", tokens bigint, types bigint"), "counts")
     texts = stored.where(F.col("part") < 0)
     segments = counted.where(F.col("block") < 0)
     total, types, size = segments.agg(F.sum("tokens"), F.sum("types"), F.sum(F.octet_length("data"))).first()
