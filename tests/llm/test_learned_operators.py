@@ -117,3 +117,105 @@ def test_isotonic_fit():
     m = rng.normal(size=500)
     x, y = toxicity.isotonic(m, (rng.random(500) < 1 / (1 + np.exp(-2 * m))).astype(float))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all()
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+def test_long_words_of_two_letters_differ(spark):
+    """Words that a polynomial hash modulo 2**64 cannot tell apart are two words, and their texts no duplicates."""
+    from tilequarry.llm import lm, neardup
+
+    one = thue_morse(2048)
+    docs = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one.upper())], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in neardup.dedup(docs).collect()) == [(1, 1, True), (2, 2, True), (3, 1, False)]
+    known = {r.doc_id: (r.train_tokens, r.base_score) for r in lm.score(docs).collect()}
+    assert known[1] == known[3] != known[2]
+
+
+@pytest.mark.parametrize("sizes", [{"FAMILY": 8192, "BLOCK": 256, "SMALL": 200_000}, {"FAMILY": 8192, "BLOCK": 8, "SMALL": 0}, {"FAMILY": 2, "BLOCK": 8, "FEW": 3}])
+def test_dense_near_duplicates(spark, monkeypatch, sizes):
+    """A group whose members lie on both sides of the threshold, by every route that sizes can choose."""
+    import random
+
+    from tilequarry.llm import neardup
+
+    for name, value in sizes.items():
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = base.copy()
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(60)] = f"x{rng.randrange(8)}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(f"y{rng.randrange(40)}" for _ in range(30))) for i in range(20)]
+    got = neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter(components(rows))
+
+
+def plain_margin(tree, row):
+    at = 0
+    while not isinstance(tree[at], float):
+        feature, value, left, right = tree[at]
+        at = left if row[feature] <= value else right
+    return tree[at]
+
+
+def plain_isotonic(margins, truth):
+    """Means of the largest blocks by the max-min formula, at every distinct margin."""
+    places = sorted(set(margins))
+    at = [[t for m, t in zip(margins, truth, strict=True) if m == p] for p in places]
+    out = []
+    for i in range(len(places)):
+        best = 0.0
+        for j in range(i + 1):
+            means = []
+            for k in range(i, len(places)):
+                pool = [t for some in at[j : k + 1] for t in some]
+                means.append(sum(pool) / len(pool))
+            best = max(best, min(means))
+        out.append(best)
+    return places, out
+
+
+def test_toxicity_against_a_plain_version():
+    """Leaf sums row by row, and the max-min form of the isotonic fit, give the same scores."""
+    from tilequarry.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    x = rng.random((200, len(toxicity.NAMES))).round(2)
+    y = (rng.random(200) < 0.2 + 0.6 * (x[:, 3] > 0.6)).astype(float)
+    part = rng.integers(2, 6, 200)
+    model = toxicity.calibrated(x, y, part)
+    assert model.knots is not None
+    margin = np.array([model.prior + sum(plain_margin(t, r) for t in model.trees) for r in x])
+    assert np.allclose(margin, model.margin(x))
+    crossed = np.empty(200)
+    for k in range(2, 6):
+        fold = toxicity.boosted(x[part != k], y[part != k])
+        crossed[part == k] = [fold.prior + sum(plain_margin(t, r) for t in fold.trees) for r in x[part == k]]
+    places, want = plain_isotonic(crossed.tolist(), y.tolist())
+    got = np.interp(places, *toxicity.isotonic(crossed, y))
+    pools = toxicity.isotonic(crossed, y)[1]
+    assert (np.diff(pools) > 0).all() and all(min(abs(pools - w)) < 1e-9 for w in want) and (np.diff(got) >= -1e-12).all()
+    first = toxicity.boosted(x, y).trees[0][0]
+    p = y.mean()
+    gain = lambda mask: ((p - y)[mask].sum()) ** 2 / (mask.sum() * p * (1 - p) + toxicity.RIDGE)
+    edges = [(f, v) for f in range(x.shape[1]) for v in np.unique(np.quantile(x[:, f], np.linspace(0, 1, toxicity.BINS + 1)[1:-1]))]
+    best = max(gain(x[:, f] <= v) + gain(x[:, f] > v) for f, v in edges)
+    assert abs(gain(x[:, first[0]] <= first[1]) + gain(x[:, first[0]] > first[1]) - best) < 1e-9
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxicity_is_calibrated_at_every_size(spark, sf):
+    from tilequarry.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    _, model = toxicity.fit(docs, labels)
+    assert model.knots is not None

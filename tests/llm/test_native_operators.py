@@ -223,3 +223,33 @@ def test_empty_tables(no_docs):
 
     assert quality.rules(no_docs).count() == sharding.shard(no_docs).count() == mixing.taken(no_docs).count() == mixing.mix(no_docs).count() == 0
     assert pii.find(no_docs).count() == pii.sanitised(no_docs).count() == quality.passing(no_docs).count() == 0
+
+
+def test_disclosing_terms_by_literals_and_by_join(spark, monkeypatch):
+    from tilequarry.llm import pii
+
+    far = "alpha beta gamma delta omega rest of it " * 5
+    rows = [(i, f"alpha beta gamma {i} delta kontakt person{i % 3}@mail{i}.example.org omega rest of it") for i in range(60)]
+    rows += [(100 + i, far) for i in range(400)] + [(900, f"{far}KONTAKT, {far}"), (901, None), (902, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    inline = sorted(map(str, pii.find(docs).collect())), sorted(map(str, pii.sanitised(docs).collect()))
+    monkeypatch.setattr(pii, "INLINE", 0)
+    assert (sorted(map(str, pii.find(docs).collect())), sorted(map(str, pii.sanitised(docs).collect()))) == inline
+
+
+#: Names that the operators use, or used, inside.
+INSIDE = "row t w _t _w _text _base base near spans clear told gone clean key kept doc source_ fp nth copies times extras plan_doc plan_fp rows lang_ known common classes n repeat __doc __tkey __nth __copies __times __fp _part _rank tkey node comp n_shingles q_n_words".split()
+
+
+def test_columns_of_any_name_pass_untouched(spark):
+    """Each extra column carries its own name as value, whatever an operator calls its columns."""
+    from tilequarry.llm import mixing, neardup, pii, quality
+
+    say = lambda i: " ".join(["the", "of", "and", "a", "in", *[f"w{(i * 7 + k) % 90}x{k}" for k in range(70)]])
+    rows = [(i, say(i) + f" me{i}@mail.example.org", "en", "s", 5, *[f"{c}{i}" for c in INSIDE]) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in INSIDE))
+    for fn in (quality.passing, neardup.survivors, pii.sanitised, mixing.mix):
+        out = fn(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in INSIDE)
