@@ -253,3 +253,28 @@ def test_columns_of_any_name_pass_untouched(spark):
         assert out.columns == docs.columns
         got = out.collect()
         assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in INSIDE)
+
+
+def test_quality_of_languages_without_a_reference(spark):
+    """Few documents of a language are judged by the reference of all, so noise does not pass under a rare name."""
+    from tilequarry.llm import quality
+
+    def say(i, words):
+        rng = random.Random(i)
+        return " ".join(rng.choice(words) if k % 4 == 0 else "".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(3)) for k in range(90))
+
+    prose, noise = ["the", "of", "and", "to"], ["Q|7", "=#%", "[]{}"]
+    rows = [(i, say(i, prose), "en") for i in range(40)] + [(100, say(100, prose), "rare"), (101, say(101, noise), "rare"), (102, say(102, prose), None), (103, say(103, noise), None)]
+    kept = {r.doc_id for r in quality.passing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert kept == {*range(40), 100, 102}
+
+
+def test_quality_word_rule_catches_labelled_noise(spark):
+    """Of the labelled bad texts that the base rule passes the method rejects most, and few of the good ones."""
+    from tilequarry.llm import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    got = [r for r in quality.rules(docs).collect() if not r.base_failed and r.doc_id in truth]
+    share = lambda q: sum(r.kept for r in got if truth[r.doc_id] == q) / sum(truth[r.doc_id] == q for r in got)
+    assert share(0) < 0.2 and share(1) > 0.99

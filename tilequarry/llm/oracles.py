@@ -31,6 +31,7 @@ def _quality() -> str:
     left = lambda others: f"length(regexp_replace(t,'{others}','','g'))"
     known = [left("[^A-ZÀ-ÖØ-Þ]+"), left("[^0-9]+"), left(r"[^.,;:!?''\"()\-]+".replace('\\"', '"')), left("[^#*$%&|<>]+"), left(r"[\x00-\x7FÀ-ÖØ-Þ]+"), "length(t)-wc"]
     words = "[" + ",".join(f"'{w}'" for w in quality.VOCABULARY) + "]"
+    none = f"[{'0,' * len(quality.VOCABULARY)}1]"
     js = lambda p, q: f"sqrt(greatest(0.0,list_sum(list_transform(list_zip(list_transform({p},lambda x: x/list_sum({p})::double),list_transform({q},lambda x: x/list_sum({q})::double)), lambda z: (case when z[1]>0 then z[1]*log2(z[1]/((z[1]+z[2])/2)) else 0 end+case when z[2]>0 then z[2]*log2(z[2]/((z[1]+z[2])/2)) else 0 end)/2))))"
     return f"""
 with w as (select row_number() over () rid, doc_id, lang, coalesce(text,'') t, {_WORDS} ws from documents),
@@ -40,14 +41,15 @@ h as (select *, list_append(kn, (length(t)-list_sum(kn))::bigint) cc from k),
 bins as (select lang, unnest(list_concat(cc,cw)) v, generate_subscripts(list_concat(cc,cw),1) pos from h where n>={quality.MIN_WORDS}),
 sums as (select lang, pos, sum(v)::bigint v, count(*) docs from bins group by 1,2 having count(*)>={quality.MIN_REFERENCE}),
 refs as (select lang, list(v order by pos) a from sums group by 1),
+whole as (select list(v order by pos) a from (select pos, sum(v)::bigint v from bins group by 1)),
 tok as (select rid, unnest(ws) wd, generate_subscripts(ws,1) i from w),
 g as (select rid, i, wd, lead(wd,1) over p w2, lead(wd,2) over p w3 from tok window p as (partition by rid order by i)),
 gg as (select rid, i, count(*) over (partition by rid, wd, w2, w3) c from g where w3 is not null),
 rep as (select rid, count(distinct p)::bigint r from (select rid, unnest([i,i+1,i+2]) p from gg where c>1) group by rid),
 lines as (select rid, (count(*)-count(distinct l))::bigint d from (select rid, unnest(string_split(t,chr(10))) l from w) where regexp_matches(l,'[^{_BLANK}]') group by rid),
-j as (select h.*, coalesce(r,0) r, coalesce(d,0) d, a[1:{len(quality.CLASSES)}] rc, a[{len(quality.CLASSES) + 1}:] rw from h left join rep using (rid) left join lines using (rid) left join refs on refs.lang is not distinct from h.lang),
-f as (select *, n<{quality.MIN_WORDS} or 100*r>50*n base_failed, case when n>0 and rc is not null then {js('cc', 'rc')} end dc, case when n>0 and rw is not null then {js('cw', 'rw')} end dw from j)
-select doc_id, n n_words, wc word_chars, kn[4] n_symbols, d n_dup_lines, r n_repeat_words, base_failed, not base_failed and not coalesce(dc>{quality.MAX_CLASS_DISTANCE},false) and not coalesce(dw>{quality.MAX_WORD_DISTANCE},false) kept from f
+j as (select h.*, coalesce(r,0) r, coalesce(d,0) d, coalesce(refs.a,whole.a)[1:{len(quality.CLASSES)}] rc, case when refs.a is not null then refs.a[{len(quality.CLASSES) + 1}:] when whole.a is not null then [(list_sum(whole.a[{len(quality.CLASSES) + 1}:])-whole.a[-1])::bigint, whole.a[-1]] end rw, case when refs.a is not null then cw else [(list_sum(cw)-cw[-1])::bigint, cw[-1]] end dwh, case when refs.a is not null then {none} else [0,1] end::bigint[] bareh from h left join rep using (rid) left join lines using (rid) left join refs on refs.lang is not distinct from h.lang, whole),
+f as (select *, n<{quality.MIN_WORDS} or 100*r>50*n base_failed, case when n>0 and rc is not null then {js('cc', 'rc')} end dc, case when n>0 and rw is not null then {js('dwh', 'rw')} end dw, case when rw is not null then {js('bareh', 'rw')} end bare, n*(list_sum(rw)-rw[-1])>={quality.EXPECTED}*list_sum(rw) expected from j)
+select doc_id, n n_words, wc word_chars, kn[4] n_symbols, d n_dup_lines, r n_repeat_words, base_failed, not base_failed and not coalesce(dc>{quality.MAX_CLASS_DISTANCE},false) and not coalesce(expected and dw>={quality.WORDLESS}*bare,false) kept from f
 """
 
 

@@ -18,13 +18,12 @@ VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Largest Jensen-Shannon distances (base 2, so from 0 to 1) of a document from its language.
+#: Largest Jensen-Shannon distance (base 2, so from 0 to 1) of a document's character classes from its language's.
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.45
-#: A text as far from its language as this share of the distance of a text without common words
-#: counts as wordless, if at least so many common words were to be expected in it.
-WORDLESS, EXPECTED = 0.99, 8
-#: A language of fewer documents than this gives no reference; its documents pass the method's rule.
+#: A text fails by its words at this share of the distance that a text without a common word has from
+#: its language, if at least so many common words were to be expected in it.
+WORDLESS, EXPECTED = 0.95, 8
+#: A language of fewer documents than this is judged by the reference of all documents.
 MIN_REFERENCE = 20
 #: Up to this many languages, references are broadcast; beyond, they are joined.
 SMALL = 5_000
@@ -67,12 +66,18 @@ def counted(df: DataFrame) -> DataFrame:
     return df.withColumn("common", F.concat(found, F.array((F.size("w") - F.size("hits")).cast("long"))))
 
 
-def references(own: DataFrame) -> DataFrame:
-    """Summed histograms of each language's documents of MIN_WORDS or more words, from the stored counts: ref_lang, ref_classes, ref_common."""
+def references(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summed histograms of documents of MIN_WORDS or more words, from the stored counts.
+
+    First those of each language with MIN_REFERENCE of them, as ref_lang, ref_classes, ref_common,
+    then those of all documents in one row (null without any).
+    """
     bins = own.where(F.col("n") >= MIN_WORDS).select("lang", F.posexplode(F.concat("classes", "common"))).groupBy("lang", "pos").agg(F.sum("col").alias("total"), F.count(F.lit(1)).alias("docs"))
     held = F.transform(F.sort_array(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"])
+    parts = (F.slice("every", 1, len(CLASSES)).alias("ref_classes"), F.slice("every", len(CLASSES) + 1, len(VOCABULARY) + 1).alias("ref_common"))
     by = bins.where(F.col("docs") >= MIN_REFERENCE).groupBy(F.col("lang").alias("ref_lang")).agg(held.alias("every"))
-    return by.select("ref_lang", F.slice("every", 1, len(CLASSES)).alias("ref_classes"), F.slice("every", len(CLASSES) + 1, len(VOCABULARY) + 1).alias("ref_common"))
+    whole = bins.groupBy("pos").agg(F.sum("total").alias("total")).agg(held.alias("every"))
+    return by.select("ref_lang", *parts), whole.select(*parts)
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -114,26 +119,34 @@ def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def _judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """row and the columns that judged() adds."""
     df = measured(docs, keep)
-    refs = references(df)
-    none = F.array(*[F.lit(0).cast("long")] * len(VOCABULARY), F.lit(1).cast("long"))
-    refs = refs.withColumn("bare", F.sqrt(F.greatest(F.lit(0.0), divergence(none, F.col("ref_common")))))
+    refs, whole = references(df)
     few = refs.limit(SMALL + 1).collect()
     if len(few) <= SMALL:
         refs = F.broadcast(docs.sparkSession.createDataFrame(few, refs.schema))
     else:
         refs = scratch.store(refs, "references")
     df = df.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    own_reference = F.col("ref_common").isNotNull()
+    every = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
+    df = df.withColumn("common", F.when(own_reference, F.col("common")).otherwise(F.array(every - F.element_at("common", -1), F.element_at("common", -1))))
+    none = F.when(own_reference, F.array(*[F.lit(0).cast("long")] * len(VOCABULARY), F.lit(1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))
+    df = df.withColumn("none", none)
+    for name, value in zip(whole.columns, whole.first() or (), strict=True):
+        if value:
+            value = [sum(value[:-1]), value[-1]] if name == "ref_common" else value
+            df = df.withColumn(name, F.coalesce(name, F.array(*map(F.lit, value)).cast("array<bigint>")))
+    df = df.withColumn("bare", F.sqrt(F.greatest(F.lit(0.0), divergence(F.col("none"), F.col("ref_common")))))
     df = df.withColumn("class_d", F.sqrt(F.greatest(F.lit(0.0), divergence(F.col("classes"), F.col("ref_classes")))))
     df = df.withColumn("word_d", F.sqrt(F.greatest(F.lit(0.0), divergence(F.col("common"), F.col("ref_common")))))
     n, repeat = F.col("n"), F.col("repeat")
     failed = (n < MIN_WORDS) | (repeat * 100 > n * 50)
-    far = F.coalesce(F.col("class_d") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_d") > MAX_WORD_DISTANCE, F.lit(False))
+    far = F.coalesce(F.col("class_d") > MAX_CLASS_DISTANCE, F.lit(False))
     every = F.aggregate("ref_common", F.lit(0).cast("long"), lambda a, x: a + x)
     expected = n * (every - F.element_at("ref_common", -1)) >= EXPECTED * every
     wordless = F.coalesce(expected & (F.col("word_d") >= WORDLESS * F.col("bare")), F.lit(False))
     out = {
         "q_n_words": n, "q_word_chars": F.col("word_chars"), "q_n_symbols": F.col("classes")[CLASSES.index("symbol")], "q_n_dup_lines": F.col("dup_lines"),
-        "q_n_repeat_words": repeat, "q_base_failed": failed, "q_class_distance": F.col("class_d"), "q_word_distance": F.col("word_d"), "q_kept": ~failed & ~far, "q_wordless": wordless,
+        "q_n_repeat_words": repeat, "q_base_failed": failed, "q_class_distance": F.col("class_d"), "q_word_distance": F.col("word_d"), "q_kept": ~failed & ~far & ~wordless, "q_wordless": wordless,
     }
     return df.select("row", *[c.alias(name) for name, c in out.items()])
 
@@ -142,11 +155,11 @@ def judged(docs: DataFrame) -> DataFrame:
     """``docs`` with word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words, base_failed, the distances, kept and wordless.
 
     References come from all documents of a language (column lang, null a language of its own).
-    A document fails the method's rule when its character classes or its common words lie further
-    than the largest distance from its language's; documents under MIN_WORDS words fail the base
-    rule already, and a language without a reference passes. A null text counts as empty.
-    Wordless texts lie as far from their language's common words as a text that has none; kept,
-    which is what the SQL of op9_quality has, does not depend on it.
+    A document fails the method's rule when its character classes lie further than the largest
+    distance from its language's, or when it is wordless: about as far from its language's common
+    words as a text that has none of them, and long enough to expect some. Documents under MIN_WORDS
+    words fail the base rule already; a language with few documents is judged by all documents'
+    reference, for words by how many are common in any language. A null text counts as empty.
     New columns start with q_ and take the place of columns of these names; all others pass
     through untouched. Repeated rows are judged alike; an empty table gives an empty result.
     """
@@ -162,5 +175,5 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep and that are not wordless, with their columns as they were, whatever their names."""
-    return _judged(docs).where(F.col("q_kept") & ~F.col("q_wordless")).select("row.*")
+    """The documents that the rules keep, with their columns as they were, whatever their names."""
+    return _judged(docs).where("q_kept").select("row.*")
