@@ -51,7 +51,23 @@ def test_item_catalog(spark, tmp_path):
     rows = stac.items(spark, [str(tmp_path / "p.json")])
     assert {r.id for r in stac.within(rows, 7.5, 46, 8, 47).collect()} == {"a", "b"}
     assert {r.id: r.h for r in rows.select("id", stac.raster_asset(F.col("assets")).alias("h")).collect()} == {"a": "a.tif", "b": "b.x", "c": "c.TIFF"}
-    assert rows.where("id = 'b'").select(stac.filtered_asset(F.col("assets"), {"type": "image/png"}).alias("h")).first().h == "b.png"
+    # a filter selects among the rasters, not among all assets
+    assert rows.where("id = 'b'").select(stac.raster_asset(F.col("assets"), {"type": "image/png"}).alias("h")).first().h is None
+
+
+def test_asset_tiers(spark):
+    tiff, cog = "image/tiff; application=geotiff", "image/tiff; application=geotiff; profile=cloud-optimized"
+    rows = [
+        ("keys", {"visual": {"href": "v.tif"}, "image": {"href": "i.tif", "gsd": "2"}}, "i.tif", None), ("media", {"a": {"href": "a", "type": cog}, "z": {"href": "z.tif"}}, "a", None), ("unknown media", {"a": {"href": "a", "type": "image/tiff; x"}}, None, None),
+        ("package", {"p": {"href": "p.GPKG.zip"}, "q": {"href": "q", "type": "text/html"}}, None, "p.GPKG.zip"), ("both", {"data": {"href": "d.tif", "type": tiff}, "z": {"href": "z.gpkg.zip"}}, "d.tif", "d.tif"),
+    ]
+    df = spark.createDataFrame([(n, a) for n, a, _, _ in rows], "n string, assets map<string,map<string,string>>")
+    got = {r.n: (r.a, r.b) for r in df.select("n", stac.raster_asset(F.col("assets")).alias("a"), stac.package_asset(F.col("assets")).alias("b")).collect()}
+    assert got == {n: (a, b) for n, _, a, b in rows}
+    two = spark.createDataFrame([({"geotiff": {"href": "g", "gsd": "1"}, "cog": {"href": "c", "gsd": "2"}},)], "assets map<string,map<string,string>>")
+    assert two.select(stac.raster_asset(F.col("assets"), {"gsd": 2}).alias("h")).first().h == "c"
+    with pytest.raises(Exception, match="asset_filter"):
+        two.select(stac.raster_asset(F.col("assets")).alias("h")).collect()
 
 
 def test_tile_cache(spark, tmp_path):
@@ -84,7 +100,7 @@ def test_geopackage(spark, tmp_path):
 
 def test_configuration(spark, tmp_path):
     (tmp_path / "base.yaml").write_text("sources:\n  s: {type: wmts, urls: ['https://e/{x}']}\nlayers:\n  l: {source: s, zoom_levels: [6, 7], bounds: alps, opacity: 0.5}\nbounds:\n  alps: {west: 6, south: 46, east: 8, north: 47}\n")
-    (tmp_path / "main.yaml").write_text("include: [base.yaml]\ntargets:\n  t:\n    layers: [{ref: l}, {ref: l, opacity: {6: 0.25}, zoom_levels: []}]\nsettings: {quality: 80}\n")
+    (tmp_path / "main.yaml").write_text("includes: [base.yaml]\ntargets:\n  t:\n    layers: [{ref: l}, {ref: l, opacity: {6: 0.25}, zoom_levels: []}]\nsettings: {quality: 80}\n")
     loaded = config.load(tmp_path / "main.yaml", {})
     plan = build.plan(spark, loaded, "t", spark.createDataFrame([(6, 33, 22, "p", 10)], "z int, x long, y long, path string, size long"))
     stack = plan.stack.collect()
@@ -95,9 +111,12 @@ def test_configuration(spark, tmp_path):
     (tmp_path / "bad.yaml").write_text("layers:\n  l: {source: none, zoom_levels: [40]}\ntargets:\n  t: {layers: [{ref: gone}]}\n")
     with pytest.raises(config.ConfigError, match="none.*40.*gone"):
         config.load(tmp_path / "bad.yaml", {})
-    (tmp_path / "loop.yaml").write_text("include: [loop.yaml]\n")
+    (tmp_path / "loop.yaml").write_text("includes: [loop.yaml]\n")
     with pytest.raises(config.ConfigError, match="circle"):
         config.load(tmp_path / "loop.yaml", {})
+    (tmp_path / "odd.yaml").write_text("include: [base.yaml]\n")
+    with pytest.raises(config.ConfigError, match="unknown keys: include"):
+        config.load(tmp_path / "odd.yaml", {})
 
 
 def test_resume(spark, tmp_path):
@@ -109,15 +128,19 @@ def test_resume(spark, tmp_path):
 
 
 def test_marks(spark):
-    key, plain = watermark.key_of("secret"), b"buyer 7"
-    data = bytes(8192)
-    nonce = watermark.nonce_of(key, plain)
-    head = watermark.header("sold to 7")
-    at = watermark.place_of(key, len(plain) + 28)
-    df = spark.createDataFrame([(data, plain, nonce)], "data binary, plain binary, nonce binary").withColumn("blob", watermark.sealed(F.col("plain"), key, F.col("nonce")))
-    marked = df.withColumn("data", watermark.patched(watermark.patched(F.col("data"), watermark.HEADER_AT, F.lit(head)), at, F.col("blob")))
-    got = marked.select(F.octet_length("data").alias("n"), watermark.header_text(F.col("data")).alias("h"), watermark.opened(F.substring("data", at + 1, len(plain) + 28), key).alias("p"), watermark.opened(F.col("blob"), watermark.key_of("other")).alias("x")).first()
-    assert (got.n, got.h, bytes(got.p), got.x) == (8192, "sold to 7", plain, None)
+    key, map_id = watermark.key_of("secret"), 0x09C102B0
+    at = watermark.place_of(key, map_id)
+    assert 0x400 + 128 <= at <= 0x1000 - 286 and at == watermark.place_of(key, map_id) != watermark.place_of(key, map_id + 1)
+    df = spark.createDataFrame([(bytes(range(256)) * 32,)], "data binary")
+    marked = df.select("data", watermark.marked(F.col("data"), key, map_id, "buyer 7", "order=gGeN33kt").alias("m"))
+    got = marked.select("data", "m", watermark.header_text(F.col("m")).alias("h"), watermark.payload(F.col("m"), key, map_id).alias("p"), watermark.payload(F.col("m"), watermark.key_of("other"), map_id).alias("x"), watermark.header_text(F.col("data")).alias("none")).first()
+    data, m = bytes(got.data), bytes(got.m)
+    assert (len(m), got.h, got.p, got.x, got.none) == (8192, "order=gGeN33kt", "buyer 7", None, None)
+    assert m[0x400:0x406] == b"CH" + struct.pack("<HH", 20, 1) and m[at : at + 6] == b"CW" + struct.pack("<HH", 12 + 7 + 16, 0)
+    assert m[at + 6 : at + 18] == watermark.nonce_of(key, b"buyer 7")
+    assert m[:0x400] == data[:0x400] and m[0x414:at] == data[0x414:at] and m[at + 41 :] == data[at + 41 :]
+    with pytest.raises(ValueError, match="120"):
+        watermark.header("x" * 121)
 
 
 def test_kernels(spark):
@@ -133,3 +156,11 @@ def test_kernels(spark):
     assert sorted((r.px, r.value) for r in raster.overview(pixels).collect()) == [(0, 2), (0, 2), (1, 10), (1, 10)]
     dashes = raster.dashes(spark.createDataFrame([(1, i, float(3 * i), 0.0) for i in range(4)], "line_id int, ord int, x double, y double"), (4.0, 4.0)).orderBy("ord").collect()
     assert [(r.start, r.drawn) for r in dashes] == [(0.0, True), (3.0, True), (6.0, False)]
+
+
+def test_command_line_reads_marks(spark, tmp_path, capsys):
+    from tilequarry import cli
+
+    path = tmp_path / "a.img"
+    path.write_bytes(bytes(0x400) + watermark.header("order=1") + bytes(0xC00))
+    assert cli.main(["mark", str(path)]) == 0 and capsys.readouterr().out.strip().endswith("order=1")

@@ -35,11 +35,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "mark":
         from tilequarry.operators import watermark
 
-        with open(args.file, "rb") as f:
-            data = f.read(watermark.END)
-        at = watermark.HEADER_AT
-        size = int.from_bytes(data[at + 4 : at + 6], "little")
-        print(data[at + 6 : at + 6 + size].decode() if data[at : at + 4] == watermark.MAGIC else "no mark")
+        rows = sessions.session().read.format("binaryFile").load(args.file).select(watermark.header_text("content").alias("header"))
+        print(next((r["header"] for r in rows.collect() if r["header"] is not None), "no mark"))
     else:
         spark = sessions.session()
         if args.command == "run":

@@ -6,11 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Colour names with their red, green and blue.
-COLOURS = {"black": (0, 0, 0), "white": (255, 255, 255), "red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255), "yellow": (255, 255, 0), "orange": (255, 165, 0), "purple": (128, 0, 128), "gray": (128, 128, 128), "brown": (165, 42, 42)}
-#: Names of placeholders that stand for a tile's address.
-TILE_VARIABLES = ("x", "y", "z", "TileMatrix", "TileRow", "TileCol")
-#: Fixed value: scale denominator of zoom 0 for tiles of 256 pixels of 0.28 mm.
-SCALE_0 = 559082264.0287178
+COLOURS = {
+    "white": (255, 255, 255),
+    "black": (0, 0, 0),
+    "red": (255, 0, 0),
+    "green": (0, 128, 0),
+    "blue": (0, 0, 255),
+    "yellow": (255, 255, 0),
+    "cyan": (0, 255, 255),
+    "magenta": (255, 0, 255),
+    "orange": (255, 165, 0),
+    "gray": (128, 128, 128),
+    "grey": (128, 128, 128),
+    "transparent": (0, 0, 0),
+}
+#: Names of the placeholders that stand for a tile's address, and longest cache key.
+TILE_VARIABLES, LONGEST_KEY = ("x", "y", "z", "zoom"), 200
+#: Smallest scale denominators of the zooms 0, 1, 2, ...; what is below all of them has the zoom after the last.
+SCALES = (500000000, 200000000, 100000000, 50000000, 20000000, 10000000, 5000000, 2000000, 1000000, 500000, 200000, 100000, 50000, 20000, 10000, 5000, 2000, 1000, 500, 200, 100)
 
 
 def filled(template: Column, values: dict[str, Column]) -> Column:
@@ -26,14 +39,22 @@ def unresolved(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\$\{[^}]*\})"), 1)
 
 
-def cache_key(url: Column) -> Column:
-    """A folder name for an address: no scheme and host, no tile placeholders, parts joined by '-', 200 characters."""
-    path = F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
-    for name in TILE_VARIABLES:
-        path = F.replace(F.replace(path, F.lit("${" + name + "}"), F.lit("")), F.lit("{" + name + "}"), F.lit(""))
-    parts = F.transform(F.split(path, "/"), lambda p: F.regexp_replace(p, r"^\.+|\.+$", ""))
-    joined = F.array_join(F.filter(parts, lambda p: p != ""), "-")
-    return F.substring(F.regexp_replace(joined, "[?=&]", "-"), 1, 200)
+def cache_key(url: Column, extra: Column | None = None) -> Column:
+    """A folder name for an address: its path and query without tile placeholders, joined by '-', percent-encoded, of 200 characters at most.
+
+    Placeholders are ${x}, {x} and $x. Parts that are empty go, dots around a part go, ``extra`` is
+    one more part unless null or empty; '?' becomes '-', '=' and '&' become '_'.
+    """
+    path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*:", ""), r"^//[^/?#]*", "")
+    path = F.regexp_replace(F.regexp_replace(path, "#.*$", ""), r"\?$", "")
+    path = F.regexp_replace(path, "|".join(rf"\$?\{{{v}\}}|\${v}" for v in TILE_VARIABLES), "")
+    parts = F.transform(F.filter(F.split(path, "/"), lambda p: p != ""), lambda p: F.regexp_replace(p, r"^\.+|\.+$", ""))
+    if extra is not None:
+        parts = F.when(F.coalesce(extra, F.lit("")) != "", F.concat(parts, F.array(extra))).otherwise(parts)
+    joined = F.translate(F.array_join(parts, "-"), "?=&", "-__")
+    quoted = F.replace(F.url_encode(joined), F.lit("+"), F.lit("%20"))  # spaces; a plus itself is %2B by now
+    quoted = F.replace(F.replace(quoted, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.substring(quoted, 1, LONGEST_KEY)
 
 
 def is_hash_name(name: Column) -> Column:
@@ -48,12 +69,18 @@ def epsg(urn: Column) -> Column:
 
 
 def map_id(name: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
-    """31 bits from the MD5 of a name and its bounds to six places: its first four bytes, lowest first."""
-    digest = F.md5(F.concat_ws("|", name, *[F.format_string("%.6f", b) for b in (west, south, east, north)]).cast("binary"))
+    """31 bits from the MD5 of "id:north,south,west,east", bounds to six places: its first four bytes, lowest first."""
+    bounds = F.concat_ws(",", *[F.format_string("%.6f", F.coalesce(b.cast("double"), F.lit(0.0))) for b in (north, south, west, east)])
+    digest = F.md5(F.concat(name, F.lit(":"), bounds).cast("binary"))
     swapped = F.concat(*[F.substring(digest, i, 2) for i in (7, 5, 3, 1)])
     return F.conv(swapped, 16, 10).cast("long").bitwiseAND(0x7FFFFFFF)
 
 
+def group_map_id(base: Column, group: Column) -> Column:
+    """The id of a file's group, counted from 0."""
+    return (base.cast("long") + group + 1).bitwiseAND(0x7FFFFFFF)
+
+
 def colour(value: Column) -> Column:
     """Red, green and blue of a name, #RRGGBB, #RGB, RRGGBB or 'r,g,b[,a]' (clamped); null if it is none."""
     low = F.lower(F.trim(value))
@@ -65,9 +92,12 @@ def colour(value: Column) -> Column:
     return F.when(names[low].isNotNull(), names[low]).when(low.rlike("^(#[0-9a-f]{3}|#?[0-9a-f]{6})$"), from_hex).when(low.rlike(r"^-?\d{1,9}(\s*,\s*-?\d{1,9}){2,3}$"), parts)
 
 
-def zoom_of_scale(denominator: Column, most: int = 21) -> Column:
-    """The coarsest zoom whose scale is at least as large; ``most`` for the largest scales."""
-    return F.when(denominator <= 0, F.lit(most)).otherwise(F.greatest(F.lit(0), F.least(F.lit(most), F.ceil(F.log2(F.lit(SCALE_0) / denominator) - 1e-9).cast("int"))))
+def zoom_of_scale(denominator: Column) -> Column:
+    """The zoom of a scale denominator, by the thresholds of SCALES."""
+    zoom = F.lit(len(SCALES))
+    for z, least in reversed(list(enumerate(SCALES))):
+        zoom = F.when(denominator >= least, F.lit(z)).otherwise(zoom)
+    return zoom
 
 
 def opacity(default: Column, by_zoom: Column, zoom: Column) -> Column:
@@ -113,10 +143,48 @@ def signed24(value: Column) -> Column:
 
 
 def varint(value: Column) -> Column:
-    """One or two bytes, as hex: a set low bit marks one byte of 7 bits, then 14 bits with the second lowest bit."""
-    one = (value * 2 + 1).cast("long")
-    two = (value * 4 + 2).cast("long")
-    return F.when(value < 1 << 7, F.lpad(F.hex(one), 2, "0")).when(value < 1 << 14, F.concat(F.lpad(F.hex(two.bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(two, 8)), 2, "0")))
+    """One or two bytes, as hex: a set low bit marks 7 bits in one byte, low bits 10 mark 13 bits in two; null for what neither holds."""
+    byte = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    two = F.concat(byte(F.shiftleft(value.cast("long").bitwiseAND(0x3F), 2).bitwiseOR(2)), byte(F.shiftright(value.cast("long"), 6)))
+    return F.when(value.between(0, (1 << 7) - 1), byte(value * 2 + 1)).when(value.between(1 << 7, (1 << 13) - 1), two)
+
+
+def varint_value(data: Column) -> Column:
+    """The number in the first bytes (hex) of a varint, of one to four bytes; null if bytes are missing.
+
+    Low bits 1, 10, 100 and 000 of the first byte mark one to four bytes; the rest of it and the
+    bytes behind it are the number, lowest first.
+    """
+    at = lambda i: F.conv(F.substring(data, 2 * i + 1, 2), 16, 10).cast("long")
+    first = at(0)
+    two = F.shiftright(first, 2) + F.shiftleft(at(1), 6)
+    three = F.shiftright(first, 3) + F.shiftleft(at(1), 5) + F.shiftleft(at(2), 13)
+    four = F.shiftright(first, 4) + F.shiftleft(at(1), 4) + F.shiftleft(at(2), 12) + F.shiftleft(at(3), 20)
+    marked = lambda bit: first.bitwiseAND(bit) == bit
+    whole = lambda n, value: F.when(F.length(data) >= 2 * n, value)
+    return F.when(marked(1), F.shiftright(first, 1)).when(marked(2), whole(2, two)).when(marked(4), whole(3, three)).otherwise(whole(4, four))
+
+
+def little(value: Column, size: int | Column) -> Column:
+    """The lowest ``size`` bytes of a whole number, lowest first, as hex; negative ones as two's complement."""
+    digits = F.lpad(F.hex(value.cast("long")), 16, "0")
+    turned = F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)])
+    return F.substring(turned, F.lit(1), (size if isinstance(size, Column) else F.lit(size)) * 2)
+
+
+def little_value(data: Column, start: int | Column, size: int | Column, signed: bool = False) -> Column:
+    """The number in ``size`` bytes of hex ``data`` from byte ``start``, lowest byte first."""
+    start, size = (F.lit(x) if isinstance(x, int) else x for x in (start, size))
+    part = F.substring(data, start * 2 + 1, size * 2)
+    turned = F.array_join(F.transform(F.sequence(size - 1, F.lit(0), F.lit(-1)), lambda i: F.substring(part, i * 2 + 1, F.lit(2))), "")
+    value = F.conv(turned, 16, 10).cast("long")
+    return F.when(value >= F.pow(F.lit(2.0), size * 8 - 1), value - F.pow(F.lit(2.0), size * 8).cast("long")).otherwise(value) if signed else value
+
+
+def date7(moment: Column) -> Column:
+    """Year (two bytes, lowest first), month, day, hour, minute, second and a zero, as hex."""
+    byte = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    return F.concat(little(F.year(moment), 2), *[byte(f(moment)) for f in (F.month, F.dayofmonth, F.hour, F.minute, F.second)], F.lit("00"))
 
 
 def extent_units(extent: Column, shift: Column) -> Column:
@@ -142,4 +210,7 @@ def filter_name(items: Column) -> Column:
 
 def source_type(explicit: Column, url: Column) -> Column:
     """A source's type: the given one, else by its address; null if neither tells."""
-    return F.coalesce(explicit, F.when(url.rlike(r"\{(x|y|z|TileMatrix|TileRow|TileCol)\}"), "wmts").when(url.rlike("/(collections|stac)/"), "stac").when(~url.rlike("^[a-z]+://"), "path"))
+    return F.coalesce(
+        F.when(explicit != "", explicit),
+        F.when(url.rlike(r"\{(" + "|".join(TILE_VARIABLES) + r")\}"), "wmts").when(url.rlike("/(collections|stac)/"), "stac").when(url.rlike(r"^(\./|\.\./|/)") | ~url.contains("://"), "path"),
+    )

@@ -55,7 +55,13 @@ def _load(path: Path, config: Config, variables: dict[str, str], seen: tuple[Pat
     data = yaml.safe_load(template.expand(path.read_text(encoding="utf-8"), variables)) or {}
     if not isinstance(data, dict):
         raise ConfigError(f"{path}: a mapping is expected")
-    for other in data.get("include", []):
+    unknown = set(data) - {"includes", "settings", *SECTIONS}
+    if unknown:
+        raise ConfigError(f"{path}: unknown keys: {', '.join(sorted(map(str, unknown)))}")
+    includes = data.get("includes") or []
+    if not isinstance(includes, list) or not all(isinstance(other, str) for other in includes):
+        raise ConfigError(f"{path}: includes must be a list of paths")
+    for other in includes:
         _load((path.parent / other).resolve(), config, variables, (*seen, path))
     for section in SECTIONS:
         for name, item in (data.get(section) or {}).items():

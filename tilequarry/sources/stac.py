@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tilequarry.sources.registry import sources
 
 SCHEMA = "features array<struct<id: string, bbox: array<double>, assets: map<string, map<string, string>>>>"
-#: Asset keys, media types and endings that mark a raster, best first.
-KEYS = ("data", "visual", "image", "geotiff", "cog")
-MEDIA = ("image/tiff", "image/vnd.stac.geotiff")
-ENDINGS = r"\.tiff?$"
+#: Asset keys, media types and endings that mark a raster, and a GeoPackage, best first.
+RASTER_KEYS = ("geotiff", "data", "image", "cog")
+RASTER_MEDIA = ("image/tiff", "image/tiff; application=geotiff", "image/tiff; application=geotiff; profile=cloud-optimized", "application/geo+tiff")
+RASTER_ENDING = r"\.tiff?$"
+PACKAGE_KEYS = ("gpkg", "geopackage", "data")
+PACKAGE_MEDIA = ("application/x.geopackage+zip", "application/geopackage+zip")
+PACKAGE_ENDING = r"\.gpkg\.zip$"
 
 
 def items(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -26,21 +29,32 @@ def within(rows: DataFrame, west: float, south: float, east: float, north: float
     return rows.where((F.col("w") <= east) & (F.col("e") >= west) & (F.col("s") <= north) & (F.col("n") >= south))
 
 
-def raster_asset(assets: Column) -> Column:
-    """The address of the raster among assets: by known key, then media type, then ending; null without one."""
-    entries = F.transform(F.array_sort(F.map_keys(assets)), lambda k: F.struct(k.alias("key"), F.try_element_at(assets, k).alias("value")))
-    by_key = F.coalesce(*[F.try_element_at(assets, F.lit(k))["href"] for k in KEYS])
-    first = lambda keep: F.get(F.filter(entries, keep), 0)["value"]["href"]
-    by_type = first(lambda e: F.coalesce(F.split(e["value"]["type"], ";")[0].isin(*MEDIA), F.lit(False)))
-    by_ending = first(lambda e: F.coalesce(F.lower(e["value"]["href"]).rlike(ENDINGS), F.lit(False)))
-    return F.coalesce(by_key, by_type, by_ending)
+def _chosen(assets: Column, wanted: dict[str, str], keys: tuple, media: tuple, ending: str) -> Column:
+    """The address of an asset: candidates are those of known keys, else of a media type, else of an ending.
 
+    ``wanted`` properties select among the candidates, the first that fits; without them, several
+    candidates are an error. Null without a candidate, or if none fits.
+    """
+    known = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.try_element_at(assets, F.lit(k)).alias("value")) for k in keys]), lambda e: e["value"].isNotNull())
+    entries = F.array_sort(F.transform(F.map_keys(assets), lambda k: F.struct(k.alias("key"))))
+    entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.try_element_at(assets, e["key"]).alias("value")))
+    by_type = F.filter(entries, lambda e: F.coalesce(e["value"]["type"].isin(*media), F.lit(False)))
+    by_ending = F.filter(entries, lambda e: F.coalesce(F.lower(e["value"]["href"]).rlike(ending), F.lit(False)))
+    found = F.when(F.size(known) > 0, known).when(F.size(by_type) > 0, by_type).otherwise(by_ending)
+    if wanted:
+        fits = lambda e: F.forall(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(str(v)).alias("v")) for k, v in wanted.items()]), lambda w: F.coalesce(F.try_element_at(e["value"], w["k"]), F.lit("")) == w["v"])
+        return F.get(F.filter(found, fits), 0)["value"]["href"]
+    return F.when(F.size(found) > 1, F.raise_error(F.lit("several assets fit; an asset_filter must select one"))).otherwise(F.get(found, 0)["value"]["href"])
 
-def filtered_asset(assets: Column, wanted: dict[str, str]) -> Column:
-    """The address of the one asset all of whose named properties match; an error if several do, null if none."""
-    fits = lambda e: F.forall(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(str(v)).alias("v")) for k, v in wanted.items()]), lambda w: F.coalesce(F.try_element_at(e["value"], w["k"]) == w["v"], F.lit(False)))
-    found = F.filter(F.map_entries(assets), fits) if wanted else F.map_entries(assets)
-    return F.when(F.size(found) > 1, F.raise_error(F.lit("several assets match; name more properties"))).otherwise(F.get(found, 0)["value"]["href"])
+
+def raster_asset(assets: Column, wanted: dict[str, str] | None = None) -> Column:
+    """The address of the raster among assets."""
+    return _chosen(assets, wanted or {}, RASTER_KEYS, RASTER_MEDIA, RASTER_ENDING)
+
+
+def package_asset(assets: Column, wanted: dict[str, str] | None = None) -> Column:
+    """The address of the zipped GeoPackage among assets."""
+    return _chosen(assets, wanted or {}, PACKAGE_KEYS, PACKAGE_MEDIA, PACKAGE_ENDING)
 
 
 @sources.register("stac")
@@ -50,6 +64,6 @@ class StacSource:
 
     def catalog(self, spark: SparkSession, config) -> DataFrame:
         rows = items(spark, config["urls"])
-        wanted = config.get("asset_filter") or {}
-        href = filtered_asset(F.col("assets"), wanted) if wanted else raster_asset(F.col("assets"))
+        choose = package_asset if config.get("format") == "gpkg" else raster_asset
+        href = choose(F.col("assets"), config.get("asset_filter"))
         return rows.withColumn("href", href).where(F.col("href").isNotNull())
