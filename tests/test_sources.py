@@ -164,3 +164,61 @@ def test_command_line_reads_marks(spark, tmp_path, capsys):
     path = tmp_path / "a.img"
     path.write_bytes(bytes(0x400) + watermark.header("order=1") + bytes(0xC00))
     assert cli.main(["mark", str(path)]) == 0 and capsys.readouterr().out.strip().endswith("order=1")
+
+
+def test_packed_files(spark, tmp_path):
+    """Header, directory and payloads written as one file and read back; a group above the cap becomes bands."""
+    from tilequarry.functions import scalars
+    from tilequarry.operators import aggregate, packed
+
+    subfiles = spark.createDataFrame([("a.img", 0, "0000000A", "GMP", 9_000_000), ("a.img", 1, "MAPSOURC", "MPS", 98), ("b.img", 0, "0000000B", "GMP", 5)], "file string, ord int, name string, kind string, size long")
+    placed = packed.file_layout(subfiles)
+    laid = {(r.file, r.ord): r for r in placed.collect()}
+    a = laid["a.img", 0]
+    assert (a.block, a.n_blocks, a.parts, a.data_start) == (32768, 275, 2, 32768) and laid["a.img", 1].start_block == 276 and a.total_blocks == 277
+    heads = placed.where("ord = 0").select("file", packed.header(F.lit("Relief map"), F.lit("E807050D1E3B"), F.col("e2"), F.col("total_blocks")).alias("h"), "data_start")
+    entries = packed.directory(placed).orderBy("file", "ord", "part").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "part", "entry"))), lambda e: e["entry"]), "").alias("d"))
+    start = heads.join(entries, "file").select("file", F.lit(0).alias("ord"), F.unhex(F.rpad(F.concat(F.rpad("h", 2 * packed.DIRECTORY_AT, "0"), "d"), F.col("data_start").cast("int") * 2, "0")).alias("data"))
+    body = spark.createDataFrame([("a.img", 2, b"xy"), ("a.img", 1, b"JPEG"), ("b.img", 1, b"z")], "file string, ord int, data binary")
+    got = {r.file: r for r in packed.written(start.unionByName(body), str(tmp_path / "out")).collect()}
+    assert {k: r.bytes for k, r in got.items()} == {"a.img": 32768 + 6, "b.img": 32768 + 1}
+    raw = (tmp_path / "out" / "a.img").read_bytes()
+    assert raw[0x10:0x17] == b"DSKIMG\0" and raw[0x41:0x49] == b"GARMIN\0\0" and raw[0x49:0x5D] == b"Relief map".ljust(20) and raw[0x61:0x65] == bytes([9, 6]) + struct.pack("<H", 277)
+    assert raw[0x39:0x3F].hex() == "e807050d1e3b" and raw[0x1BE:0x1C3].hex() == "010000ff60" and raw[0x1FE:0x200] == b"\x55\xaa" and struct.unpack("<I", raw[0x1CA:0x1CE])[0] == 277 * 64
+    assert raw[0x1000] == 1 and raw[0x1010] == 3 and struct.unpack("<H", raw[0x1020:0x1022])[0] == 0 and raw[32768:] == b"JPEGxy"
+    files_read = spark.read.format("binaryFile").load(str(tmp_path / "out")).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+    back = {(r.path, r.name): r for r in packed.parsed_directory(files_read).collect()}
+    assert back["a.img", "0000000A"].blocks == list(range(1, 276)) and back["a.img", "0000000A"].size == 9_000_000 and back["a.img", "MAPSOURC"].blocks == [276] and back["b.img", "0000000B"].blocks == [1]
+    head = files_read.where("path = 'a.img'").select(*[c.alias(n) for n, c in packed.parsed_header(F.col("content")).items()]).first()
+    assert (head.name, head.e2, head.total_blocks) == ("Relief map", 6, 277)
+    assert spark.createDataFrame([(b"short",)], "content binary").select(packed.parsed_header(F.col("content"))["name"].alias("n")).first().n is None
+
+    tiles = spark.createDataFrame([(z, float(k), k, 10) for z, n in ((1, 2), (2, 3), (3, 23), (4, 1)) for k in range(n)], "z int, lat double, x int, size long")
+    groups = {}
+    for r in aggregate.packed_groups(tiles, "size", "lat", ["x"], 50).collect():
+        groups.setdefault(r.grp, []).append((r.z, r.x))
+    assert sorted(groups[0]) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)] and [len(groups[g]) for g in (1, 2, 3, 4, 5)] == [5, 5, 5, 5, 3] and groups[6] == [(4, 0)]
+    assert scalars.block_exponent is not None
+
+
+def test_nearest_and_intervals(spark):
+    from tilequarry.operators import spatial
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 170.0, 60.0), (3, -179.0, -80.0)], "id long, lon double, lat double")
+    centres = spark.createDataFrame([(7, 0.5, 0.5), (8, 0.5, -0.5), (9, -100.0, 10.0)], "id long, lon double, lat double")
+    got = {r.point_id: (r.centre_id, r.dist2) for r in spatial.nearest(points, centres, 0.25).collect()}
+    want = {i: min(((x - a) ** 2 + (y - b) ** 2, k) for k, a, b in ((7, 0.5, 0.5), (8, 0.5, -0.5), (9, -100.0, 10.0))) for i, x, y in ((1, 0.0, 0.0), (2, 170.0, 60.0), (3, -179.0, -80.0))}
+    assert got == {i: (k, d) for i, (d, k) in want.items()}
+    assert spatial.nearest(points, centres.limit(0)).count() == 0
+    values = spark.createDataFrame([(g, v) for g in ("a", "b", None) for v in (0, 5, 9, 10, 99)] + [("c", 1), ("a", None)], "g string, v int")
+    spans = spark.createDataFrame([("a", 0, 5, 1), ("a", 5, 10, 2), ("b", 3, 6, 3), (None, 9, 11, 4)], "g string, low int, high int, span int")
+    got = sorted((str(r.g), r.v, r.span) for r in spatial.in_intervals(values, spans, ["g"], "v").collect())
+    assert got == [("None", 9, 4), ("None", 10, 4), ("a", 0, 1), ("a", 5, 2), ("a", 9, 2), ("b", 5, 3)]
+
+
+def test_boxes_across_the_date_line(spark):
+    from tilequarry.operators import grid
+
+    boxes = spark.createDataFrame([(1, 170.0, -10.0, -170.0, 10.0), (2, 10.0, -1.0, 9.0, 1.0)], "id int, w double, s double, e double, n double")
+    got = [(r.id, r.z, r.x, r.y) for r in grid.grid(grid.zooms(boxes, [0, 1, 3])).collect()]
+    assert len(got) == len(set(got)) and {x for i, z, x, _ in got if (i, z) == (1, 3)} == {0, 7} and {x for i, z, x, _ in got if (i, z) == (2, 3)} == set(range(8))

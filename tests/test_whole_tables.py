@@ -10,7 +10,7 @@ def test_upper_median_of_all_rows(spark, sf_dir):
     groups = defaultdict(list)
     for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect():
         groups[r.l_returnflag, r.l_linestatus].append(r.l_quantity)
-    got = {(r.l_returnflag, r.l_linestatus): r.med for r in catalogue.QUERIES["upper_median_all"](spark, sf_dir).collect()}
+    got = {(r.l_returnflag, r.l_linestatus): r.med for r in catalogue.QUERIES["upper_median"](spark, sf_dir).collect()}
     assert got == {k: sorted(v)[len(v) // 2] for k, v in groups.items()}
 
 
@@ -25,7 +25,7 @@ def test_fold_over_of_all_keys(spark, sf_dir):
     stacks = defaultdict(list)
     for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect():
         stacks[r.l_orderkey].append((r.l_linenumber * 100000 + r.l_partkey, r.l_quantity, r.l_discount))
-    got = {r.l_orderkey: (r.value, r.alpha) for r in catalogue.QUERIES["fold_over_all"](spark, sf_dir).collect()}
+    got = {r.l_orderkey: (r.value, r.alpha) for r in catalogue.QUERIES["fold_over"](spark, sf_dir).collect()}
     assert set(got) == set(stacks)
     for key, stack in stacks.items():
         value = alpha = 0.0

@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upper_median(value: Column) -> Column:
-    """The element after the middle of an even number of values, the middle of an odd one, as an aggregate."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-
 def medians(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """The upper median of ``value`` in every group, null without values: counts of equal values and their running sums.
 
@@ -31,11 +25,12 @@ def summary(tiles: DataFrame, default_size: int = 30_000) -> DataFrame:
     return tiles.rollup("z").agg(total.alias("total"), cached.alias("cached"), (total - cached).alias("to_process"), F.sum(F.coalesce("size", F.lit(default_size))).alias("bytes"), (total == cached).alias("all_cached"))
 
 
-def sampled_size(tiles: DataFrame, key: list[str], value: str, n: int, default: int) -> DataFrame:
-    """For every z the upper median of ``value`` over the ``n`` rows of the smallest hash of ``key``; a feature, not a shortcut."""
+def sampled_size(tiles: DataFrame, key: list[str], value: str, n: int = 5, default: int = 30_000) -> DataFrame:
+    """For every z the whole mean of ``value`` over the ``n`` rows of the smallest hash of ``key``; a feature, not a shortcut."""
     w = Window.partitionBy("z").orderBy(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key])), *key)
     some = tiles.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    return tiles.select("z").distinct().join(some.groupBy("z").agg(upper_median(F.col(value)).alias("size")), "z", "left").withColumn("size", F.coalesce("size", F.lit(default)))
+    mean = F.floor(F.sum(value) / F.count(value)).cast("long")
+    return tiles.select("z").distinct().join(some.groupBy("z").agg(mean.alias("size")), "z", "left").withColumn("size", F.coalesce("size", F.lit(default)))
 
 
 def extent(boxes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -81,10 +76,42 @@ def latitude_bands(tiles: DataFrame, group: str, lat: str, tie: list[str], bands
     return ranked.withColumn("band", F.floor(F.col("_r") / F.ceil(F.col("_n") / bands)).cast("int")).drop("_r", "_n")
 
 
-def violations(files: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Limits that are exceeded: name, value, allowed; ``limits`` maps an aggregate's column to its largest value."""
+def packed_groups(tiles: DataFrame, size: str, lat: str, tie: list[str], cap: int) -> DataFrame:
+    """Deal tiles(z, ...) to groups of at most about ``cap`` bytes: grp, from 0.
+
+    Whole zooms are packed in order; a zoom above the cap is cut alone, by latitude, into as many
+    bands of equal counts as its bytes need, the last of which may be short or empty. Ranks come
+    from counts by latitude, so no task holds a zoom.
+    """
+    by_zoom = tiles.groupBy(F.col("z").cast("long").alias("z")).agg(F.sum(size).cast("long").alias("v"), F.count(F.lit(1)).alias("n"))
+    items = F.array_sort(F.collect_list(F.struct("z", "v", "n")))
+    kind = "array<struct<z:bigint,n:bigint,g:int,bands:bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("next"), F.array().cast(kind).alias("out"))
+
+    def add(now: Column, x: Column) -> Column:
+        bands = F.when(x["v"] > cap, F.ceil(x["v"] / cap)).otherwise(F.lit(1)).cast("long")
+        joins = (now["used"] > 0) & (bands == 1) & (now["used"] + x["v"] <= cap)
+        g = F.when(joins, now["next"] - 1).otherwise(now["next"])
+        used = F.when(bands > 1, F.lit(0)).when(joins, now["used"] + x["v"]).otherwise(x["v"])
+        item = F.struct(x["z"].alias("z"), x["n"].alias("n"), g.cast("int").alias("g"), bands.alias("bands"))
+        return F.struct(used.cast("long").alias("used"), (g + bands).cast("int").alias("next"), F.concat(now["out"], F.array(item)).alias("out"))
+
+    plan = by_zoom.agg(F.aggregate(items, start, add, lambda end: end["out"]).alias("o")).select(F.explode("o").alias("x")).select(F.col("x.z").alias("_z"), F.col("x.n").alias("_n"), F.col("x.g").alias("_g"), F.col("x.bands").alias("_bands"))
+    rows = tiles.join(F.broadcast(plan), F.col("z").cast("long") == F.col("_z"))  # a row a zoom
+    whole, cut = rows.where("_bands = 1").withColumn("grp", F.col("_g")), rows.where("_bands > 1")
+    below = Window.partitionBy("_z").orderBy("_lat").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("_z", F.col(lat).alias("_lat")).agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select(F.col("_z").alias("_z2"), "_lat", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_start"))
+    ranked = cut.withColumn("_r", F.row_number().over(Window.partitionBy("_z", lat).orderBy(*tie)) - 1).join(starts, (F.col("_z") == F.col("_z2")) & (F.col(lat) == F.col("_lat")))
+    band = F.floor((F.col("_start") + F.col("_r")) / F.ceil(F.col("_n") / F.col("_bands")))
+    cut = ranked.withColumn("grp", (F.col("_g") + band).cast("int"))
+    return whole.select(*tiles.columns, "grp").unionByName(cut.select(*tiles.columns, "grp"))
+
+
+def violations(files: DataFrame, limits: dict[str, int], key: list[str] | None = None) -> DataFrame:
+    """Limits that are exceeded: the key, name, value, allowed; ``limits`` maps an aggregate's column to its largest value."""
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias("value"), F.lit(v).cast("long").alias("allowed")) for n, v in limits.items()])).alias("x")
-    return files.select(rows).select("x.*").where("value > allowed")
+    return files.select(*(key or []), rows).select(*(key or []), "x.*").where("value > allowed")
 
 
 def manhattan_nearest(tiles: DataFrame, k: int) -> DataFrame:

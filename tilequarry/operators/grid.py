@@ -16,12 +16,18 @@ def zooms(boxes: DataFrame, levels: Iterable[int]) -> DataFrame:
 
 
 def ranges(boxes: DataFrame, west: str = "w", south: str = "s", east: str = "e", north: str = "n", z: str = "z") -> DataFrame:
-    """Add x0, x1, y0, y1, the tile ranges of each box. A box with west > east crosses 180 degrees and becomes two."""
+    """Add x0, x1, y0, y1, the tile ranges of each box. A box with west > east crosses 180 degrees and becomes two.
+
+    Where both halves of such a box meet in a tile column, the second one leaves it out.
+    """
     halves = F.when(F.col(west) <= F.col(east), F.array(F.struct(F.col(west).alias("a"), F.col(east).alias("b")))).otherwise(F.array(F.struct(F.col(west).alias("a"), F.lit(180.0).alias("b")), F.struct(F.lit(-180.0).alias("a"), F.col(east).alias("b"))))
     df = boxes.withColumn("_half", F.explode(halves))
     zoom = F.col(z)
     spans = {"x0": tile.tile_x(F.col("_half.a"), zoom), "x1": tile.tile_x(F.col("_half.b"), zoom), "y0": tile.tile_y(F.col(north), zoom), "y1": tile.tile_y(F.col(south), zoom)}
-    return df.withColumns(spans).drop("_half")
+    crosses = F.col(west) > F.col(east)
+    first_x0 = F.when(crosses & (F.col("_half.a") == -180.0) & (F.col("_half.b") == F.col(east)), tile.tile_x(F.col(west), zoom))
+    spans["x1"] = F.coalesce(F.least(spans["x1"], first_x0 - 1), spans["x1"])
+    return df.withColumns(spans).where("x0 <= x1").drop("_half")
 
 
 def grid(boxes: DataFrame, **names: str) -> DataFrame:

@@ -67,38 +67,64 @@ def coarser_fallback(wanted: DataFrame, available: DataFrame, most: int = 22) ->
     return met.groupBy("z", "x", "y").agg(F.max(F.when(F.col("_there") == 1, F.col("_z"))).alias("found_z"))
 
 
-def as_of(values: DataFrame, keys: DataFrame, at: str, key: str) -> DataFrame:
-    """Every row of ``values`` with the largest key of keys(key) that is not above ``at``, as asof; null if none is.
+def as_of(values: DataFrame, keys: list, at: str) -> DataFrame:
+    """Every row of ``values`` with the largest of a short list of keys that is not above ``at``, as asof; null if none is.
 
-    Keys are a short list (style zooms): they are gathered into one array and searched in place.
+    Keys (the zooms of a style) are literals, searched in place; a table of keys is matched by ``as_of_rows``.
     """
-    listed = keys.agg(F.array_sort(F.collect_set(key)).alias("_keys"))
-    rows = listed.first()
-    found = F.array_max(F.filter(F.array(*[F.lit(k) for k in rows["_keys"]]), lambda k: k <= F.col(at))) if rows and rows["_keys"] else F.lit(None)
+    found = F.array_max(F.filter(F.array(*map(F.lit, sorted(set(keys)))), lambda k: k <= F.col(at))) if keys else F.lit(None)
     return values.withColumn("asof", found)
 
 
-def nearest(points: DataFrame, centres: DataFrame, degrees: float = 1.0, rings: int = 360) -> DataFrame:
+def as_of_rows(values: DataFrame, keys: DataFrame, by: list[str], at: str, key: str) -> DataFrame:
+    """The same for keys in a table, matched within ``by``: both sides lie in one order and the last key seen counts.
+
+    Without a column to match in, the order is one task's: give a coarse part of ``at`` then.
+    """
+    sides = values.withColumn("_at", F.col(at)).withColumn("_key", F.lit(None).cast(dict(keys.dtypes)[key])).withColumn("_own", F.lit(1))
+    marks = keys.select(*by, F.col(key).alias("_at"), F.col(key).alias("_key"), F.lit(0).alias("_own"))
+    w = Window.partitionBy(*by).orderBy("_at", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    both = sides.unionByName(marks, allowMissingColumns=True).withColumn("asof", F.last("_key", ignorenulls=True).over(w))
+    return both.where("_own = 1").select(*values.columns, "asof")
+
+
+def in_intervals(values: DataFrame, spans: DataFrame, by: list[str], at: str, low: str = "low", high: str = "high") -> DataFrame:
+    """Every row of ``values`` whose ``at`` lies in [low, high) of a span, which do not overlap within ``by``, with the span's columns.
+
+    The span that starts last at or before ``at`` is the only one that can hold it, so an as-of match replaces the range condition.
+    """
+    met = as_of_rows(values, spans, by, at, low)
+    sided = spans.select(*[F.col(c).alias(f"_{c}") for c in spans.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("asof") == F.col(f"_{low}"), F.col(at) < F.col(f"_{high}")]
+    rest = [c for c in spans.columns if c not in by]
+    return met.join(sided, on).select(*values.columns, *[F.col(f"_{c}").alias(c) for c in rest if c not in values.columns])
+
+
+def nearest(points: DataFrame, centres: DataFrame, degrees: float = 1.0) -> DataFrame:
     """For every point (id, lon, lat) the nearest centre by squared degrees, ties to the smaller id: point_id, centre_id, dist2.
 
-    Centres are matched in growing squares of cells: a point leaves once its best centre is nearer
-    than the next ring can be, so only points far from all centres look far.
+    Cells grow fourfold from turn to turn. A point meets the centres of its own cell and the eight
+    around it and leaves once its best centre is no further than one cell, so a turn makes nine
+    rows a point that is left, however far the centres are. The last turn's one cell holds all.
     """
     todo = points.select(F.col("id").alias("point_id"), "lon", "lat")
-    cell = lambda c: F.floor(c / degrees).cast("long")
-    c = centres.select(F.col("id").alias("centre_id"), F.col("lon").alias("clon"), F.col("lat").alias("clat"), cell(F.col("lon")).alias("_cx"), cell(F.col("lat")).alias("_cy"))
-    done, reach = None, 1
+    c = centres.select(F.col("id").alias("centre_id"), F.col("lon").alias("clon"), F.col("lat").alias("clat"))
+    if not c.limit(1).count():
+        return todo.limit(0).select("point_id", F.lit(None).cast("long").alias("centre_id"), F.lit(None).cast("double").alias("dist2"))
+    done = None
     while True:
-        span = F.sequence(F.lit(-reach), F.lit(reach))
-        around = todo.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span)).withColumns({"_cx": cell(F.col("lon")) + F.col("_dx"), "_cy": cell(F.col("lat")) + F.col("_dy")})
+        cell = lambda name: F.floor(F.col(name) / degrees).cast("long")  # noqa: B023, E731
+        own = c.withColumns({"_cx": cell("clon"), "_cy": cell("clat")})
+        step = F.sequence(F.lit(-1), F.lit(1))
+        around = todo.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumns({"_cx": cell("lon") + F.col("_dx"), "_cy": cell("lat") + F.col("_dy")})
         d2 = F.pow(F.col("lon") - F.col("clon"), 2) + F.pow(F.col("lat") - F.col("clat"), 2)
-        best = around.join(c, ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(d2.alias("dist2"), "centre_id")).alias("b")).select("point_id", "b.centre_id", "b.dist2")
-        sure = best.where((F.sqrt("dist2") <= reach * degrees) | F.lit(reach >= rings))
+        best = around.join(own, ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(d2.alias("dist2"), "centre_id")).alias("b")).select("point_id", "b.centre_id", "b.dist2")
+        sure = best.where((F.sqrt("dist2") <= degrees) | F.lit(degrees >= 1024))
         done = sure if done is None else done.unionByName(sure)
         todo = todo.join(sure.select("point_id"), "point_id", "left_anti")
-        if reach >= rings or todo.limit(1).count() == 0:
+        if degrees >= 1024 or not todo.limit(1).count():
             return done.select("point_id", "centre_id", "dist2")
-        reach *= 4
+        degrees *= 4
 
 
 def gaps(rows: DataFrame, group: str, value: str, factor: float = 1.5) -> DataFrame:

@@ -11,7 +11,7 @@ from tilequarry.operators import aggregate, grid, layout
 from tilequarry.plans.config import Config
 
 #: The share of a file's largest size that is planned, that size, and the size of an unknown tile.
-SHARE, LARGEST, UNKNOWN = 0.85, 600 << 20, 50_000
+SHARE, LARGEST, UNKNOWN = 0.85, 600_000_000, 50_000
 
 
 @dataclass
@@ -34,7 +34,6 @@ def plan(spark: SparkSession, config: Config, target: str, cached: DataFrame) ->
     stack = grid.grid(boxes).select("z", "x", "y", "pos", F.coalesce(F.try_element_at("opacity_by_zoom", F.col("z")), "opacity", F.lit(1.0)).alias("opacity"))
     tiles = grid.metadata(stack.select("z", "x", "y").distinct(), cached, UNKNOWN)
     summary = aggregate.summary(tiles.withColumn("cached", F.col("path").isNotNull()), UNKNOWN)
-    by_zoom = tiles.groupBy(F.col("z").cast("long").alias("z")).agg(F.sum("size").cast("long").alias("bytes"))
-    groups = aggregate.greedy_groups(by_zoom, "z", "bytes", int(SHARE * LARGEST))
-    placed = tiles.join(F.broadcast(groups.select(F.col("z").cast("int").alias("z"), "grp")), "z")
+    placed = aggregate.packed_groups(tiles, "size", "lat_min", ["x", "y"], int(SHARE * LARGEST))
+    groups = placed.groupBy("grp", "z").agg(F.sum("size").cast("long").alias("bytes"), F.count(F.lit(1)).alias("tiles"))
     return Plan(stack, tiles, summary, groups, layout.offsets(placed, ["grp", "z"], ["x", "y"], "size"))

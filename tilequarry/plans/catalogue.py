@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilequarry.functions import scalars, tile
-from tilequarry.operators import aggregate, catalog, composite, grid, layout, predicates, spatial
+from tilequarry.operators import aggregate, catalog, composite, grid, layout, packed, predicates, spatial
 from tilequarry.plans import relations as rel
 from tilequarry.spark import table
 
@@ -175,8 +175,7 @@ def coarser_fallback(spark, d):
 @query("select p_partkey, p_size, max(z) \"asof\" from part left join (select unnest([5,10,20,35]) z) on z<=p_size group by 1,2")
 def asof_zoom(spark, d):
     """The style zoom in force at every size."""
-    keys = spark.createDataFrame([(z,) for z in (5, 10, 20, 35)], "z int")
-    return spatial.as_of(table(spark, d, "part").select("p_partkey", "p_size"), keys, "p_size", "z")
+    return spatial.as_of(table(spark, d, "part").select("p_partkey", "p_size"), [5, 10, 20, 35], "p_size")
 
 
 @query("select p.id point_id, arg_min(c.id, (pow(p.lon-c.lon,2)+pow(p.lat-c.lat,2), c.id)) centre_id, round(min(pow(p.lon-c.lon,2)+pow(p.lat-c.lat,2)),9) dist2 from pts p, (select * from pts where id%50=7) c group by 1", "pts")
@@ -201,22 +200,15 @@ def build_summary(spark, d):
     return aggregate.summary(_tiles(spark, d))
 
 
-@query(f"select z, list_sort(list(size))[len(list(size))//2+1] size from (select *, row_number() over (partition by z order by md5(o_orderkey::varchar), o_orderkey) r from ({_TILES}) where cached) where r<=20 group by z")
+@query(f"select z, (sum(size)//count(*))::bigint size from (select *, row_number() over (partition by z order by md5(o_orderkey::varchar), o_orderkey) r from ({_TILES}) where cached) where r<=5 group by z")
 def sampled_sizes(spark, d):
-    """Upper median of 20 sampled sizes of every zoom."""
-    t = _tiles(spark, d).where("cached")
-    return aggregate.sampled_size(t, ["o_orderkey"], "size", 20, 30_000).select("z", "size")
+    """Whole mean of five sampled sizes of every zoom: sampling is the feature."""
+    return aggregate.sampled_size(_tiles(spark, d).where("cached"), ["o_orderkey"], "size").select("z", "size")
 
 
-@query("select l_returnflag, l_linestatus, list_sort(list(l_quantity))[len(list(l_quantity))//2+1] med from lineitem where l_partkey%10=0 group by 1,2")
+@query("select l_returnflag, l_linestatus, list_sort(list(l_quantity))[len(list(l_quantity))//2+1] med from lineitem group by 1,2")
 def upper_median(spark, d):
-    """Upper median by group."""
-    return aggregate.medians(table(spark, d, "lineitem").where("l_partkey % 10 = 0"), ["l_returnflag", "l_linestatus"], "l_quantity", "med")
-
-
-@query(ORACLES["upper_median"].replace(" where l_partkey%10=0", ""))
-def upper_median_all(spark, d):
-    """Upper median by group, over all rows."""
+    """Upper median by group, from counts of equal values."""
     return aggregate.medians(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "med")
 
 
@@ -244,7 +236,7 @@ def quartic_cells(spark, d):
 def greedy_groups(spark, d):
     """Consecutive groups of zooms under a cap."""
     sizes = table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("z")).agg(F.sum(F.floor("o_totalprice")).cast("long").alias("sz"))
-    cap = sizes.agg(F.sum("sz")).first()[0] // 3
+    cap = (sizes.agg(F.sum("sz")).first()[0] or 0) // 3
     return aggregate.greedy_groups(sizes, "z", "sz", cap)
 
 
@@ -353,28 +345,23 @@ def resume(spark, d):
 
 
 @query(
-    """with recursive s as (select l_orderkey, l_quantity v, l_discount o, row_number() over (partition by l_orderkey order by l_linenumber*100000+l_partkey, l_quantity, l_discount) r from lineitem where l_orderkey%50=1),
+    """with recursive s as (select l_orderkey, l_quantity v, l_discount o, row_number() over (partition by l_orderkey order by l_linenumber*100000+l_partkey, l_quantity, l_discount) r from lineitem),
     f as (select l_orderkey, r, case when o>0 then v else 0 end v, o a from s where r=1 union all select s.l_orderkey, s.r, case when s.o+f.a*(1-s.o)>0 then (s.v*s.o+f.v*f.a*(1-s.o))/(s.o+f.a*(1-s.o)) else 0 end, s.o+f.a*(1-s.o) from f join s on s.l_orderkey=f.l_orderkey and s.r=f.r+1)
     select l_orderkey, round(arg_max(v,r),9) as value, round(arg_max(a,r),9) alpha from f group by 1"""
 )
 def fold_over(spark, d):
-    """Ordered source-over compositing of the stack of every key (every 50th key is a tile of the map)."""
-    return _folded(table(spark, d, "lineitem").where("l_orderkey % 50 = 1"))
-
-
-def _folded(lines: DataFrame) -> DataFrame:
-    rows = lines.select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), "l_quantity", "l_discount")
+    """Ordered source-over compositing of the stacks of all keys."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), "l_quantity", "l_discount")
     out = composite.over(rows, ["l_orderkey"], "pos", "l_quantity", "l_discount")
     return out.select("l_orderkey", r9(F.col("value")).alias("value"), r9(F.col("alpha")).alias("alpha"))
 
 
-@query(ORACLES["fold_over"].replace(" where l_orderkey%50=1", ""))
-def fold_over_all(spark, d):
-    """Ordered source-over compositing of the stacks of all keys."""
-    return _folded(table(spark, d, "lineitem"))
+#: A folder's name: path and query, placeholders out, parts without dots around them, joined and percent-encoded.
+_KEY = r"""substr(url_encode(translate(array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url,'^[a-zA-Z][a-zA-Z0-9+.-]*:',''),'^//[^/?#]*',''),'#.*$',''),'\?$',''),
+    '\$?\{x\}|\$x|\$?\{y\}|\$y|\$?\{z\}|\$z|\$?\{zoom\}|\$zoom','','g'),'/'), lambda p: p<>''), lambda p: regexp_replace(p,'^\.+|\.+$','','g')),'-'),'?=&','-__')),1,200)"""
 
 
-@query("select page_id, substr(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(url,'^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*',''),'/'), lambda p: regexp_replace(p,'^\\.+|\\.+$','','g')), lambda p: p<>''),'-'),'[?=&]','-','g'),1,200) as \"key\", case when regexp_matches(url,'/(collections|stac)/') then 'stac' when not regexp_matches(url,'^[a-z]+://') then 'path' end as kind from pages")
+@query(f"select page_id, {_KEY} as \"key\", case when regexp_matches(url,'\\{{(x|y|z|zoom)\\}}') then 'wmts' when regexp_matches(url,'/(collections|stac)/') then 'stac' when not contains(url,'://') then 'path' end as kind from pages")
 def cache_keys(spark, d):
     """Cache folder and source type of every address."""
     return table(spark, d, "pages").select("page_id", scalars.cache_key(F.col("url")).alias("key"), scalars.source_type(F.lit(None).cast("string"), F.col("url")).alias("kind"))
@@ -404,3 +391,200 @@ def freshness(spark, d):
     remote = F.md5(F.lit("1-URGENT").cast("binary"))
     none = F.lit(None).cast("string")
     return o.select("o_orderkey", scalars.older_than(F.col("o_orderdate").cast("string"), F.to_timestamp(F.lit("1997-01-01 00:00:00")), 30).alias("old"), scalars.fresh(tag, remote, none, none).alias("is_fresh"), scalars.alpha((F.col("o_orderkey") % 11) / 10.0).alias("alpha"))
+
+
+# -- packed files ----------------------------------------------------------------------------------
+
+
+def _le(value: str, size: int) -> str:
+    """SQL of the lowest bytes of a whole number, lowest first, as hex."""
+    whole = f"((({value})::hugeint%{256**size}+{256**size})%{256**size})"
+    return "(" + "||".join(f"printf('%02X',({whole}//{256**i}%256)::bigint)" for i in range(size)) + ")"
+
+
+def _mu(degrees: str) -> str:
+    return f"trunc(({degrees})*16777216.0/360.0)::bigint"
+
+
+def _world_tiles(spark, d, z: int) -> DataFrame:
+    """Distinct tiles of a zoom that hold points, in groups by their ancestor three zooms up."""
+    own = rel.world_points(spark, d).select(tile.tile_x(F.col("lon"), F.lit(z)).alias("x"), tile.tile_y(F.col("lat"), F.lit(z)).alias("y")).distinct()
+    return own.select(F.lit(z).alias("z"), "x", "y", (F.floor(F.col("x") / 8) * 1000 + F.floor(F.col("y") / 8)).cast("long").alias("g"), (1000 + (F.col("x") * 7919 + F.col("y") * 104729) % 30011).cast("long").alias("size"))
+
+
+_WORLD = f"(select 9 z, x, y, (x//8*1000+y//8)::bigint g, (1000+(x*7919+y*104729)%30011)::bigint size from (select distinct {_x('lon','9')} x, {_y('lat','9')} y from gpts))"
+
+
+@query(f"select g, x, y, image, \"offset\", {_le('\"offset\"', 4)} entry from (select *, (row_number() over p-1)::bigint image, coalesce(sum(size) over (partition by g order by y, x rows between unbounded preceding and 1 preceding),0)::bigint as \"offset\" from {_WORLD} window p as (partition by g order by y, x))", "gpts")
+def image_offsets(spark, d):
+    """Number, offset and table entry of every image of a group."""
+    return packed.image_table(_world_tiles(spark, d, 9), ["g"], ["y", "x"], "size").select("g", "x", "y", "image", "offset", "entry")
+
+
+def _records(spark, d) -> DataFrame:
+    tiles = grid.with_bounds(packed.image_table(_world_tiles(spark, d, 9), ["g"], ["y", "x"], "size"))
+    centre = tiles.groupBy(F.col("g").alias("_g")).agg(((F.min("lat_min") + F.max("lat_max")) / 2).alias("centre_lat"), ((F.min("lon_min") + F.max("lon_max")) / 2).alias("centre_lon"))
+    df = tiles.join(centre, F.col("g") == F.col("_g")).withColumn("level", (16 + F.col("g") % 9).cast("int"))
+    return df.select("*", packed.record(F.lit(2)).alias("record"))
+
+
+_LS = "({high}-{low}+u-1)//u+1"
+_RECORDS = f"""(with t as (select *, (row_number() over (partition by g order by y, x)-1)::bigint image, x/512.0*360.0-180.0 west, (x+1)/512.0*360.0-180.0 east, degrees(atan(sinh(pi()*(1.0-2.0*(y+1)/512.0)))) south, degrees(atan(sinh(pi()*(1.0-2.0*y/512.0)))) north, (16+g%9)::int lvl from {_WORLD}),
+    c as (select *, {_mu('(min(south) over (partition by g)+max(north) over (partition by g))/2')} cy, {_mu('(min(west) over (partition by g)+max(east) over (partition by g))/2')} cx, {_mu('west')} l, {_mu('east')} r, {_mu('south')} b, {_mu('north')} t, (1::bigint<<greatest(0,24-lvl)) u from t),
+    e as (select *, {_LS.format(high='r',low='l')} w, {_LS.format(high='t',low='b')} h, greatest(-32768,least(32767,floor((l-cx)/u::double)))::bigint dx, greatest(-32768,least(32767,floor((b-cy)/u::double)))::bigint dy from c),
+    n as (select *, ceil(log2(greatest(w,h)+1.0))+1 need from e),
+    k as (select *, case when greatest(1,need-3)<=9 then greatest(1,need-3) else least(15,greatest(10,ceil((need+6)/2))) end::int bs from n),
+    q as (select *, case when bs<=9 then bs+3 else 2*bs-6 end bits from k)
+    select g, x, y, '06B3'||{_le('dx',2)}||{_le('dy',2)}||'11'||printf('%02X',bs*17)||{_le('least((1::bigint<<(bits-1))-1,w)*8+least((1::bigint<<(bits-1))-1,h)*(1::bigint<<(bits+3))',7)}||'000000E02D'||{_le('image',2)}
+    ||{_le('least(2147483647,trunc(north*2147483648.0/180.0)::bigint)',4)}||{_le('least(2147483647,trunc(east*2147483648.0/180.0)::bigint)',4)}||{_le('least(2147483647,trunc(south*2147483648.0/180.0)::bigint)',4)}||{_le('least(2147483647,trunc(west*2147483648.0/180.0)::bigint)',4)}||{_le('size',4)} record, dx, dy, image, size, north, east, south, west from q)"""
+
+
+@query(f"select g, x, y, record from {_RECORDS}", "gpts")
+def image_records(spark, d):
+    """Byte records of the images of a subdivision, with deltas, extents and bounds."""
+    return _records(spark, d).select("g", "x", "y", "record")
+
+
+@query(f"select g, x, y, dx lon_delta, dy lat_delta, image, size, round(least(2147483647.0,trunc(north*2147483648.0/180.0))*180.0/2147483648.0,6) lat_max, round(least(2147483647.0,trunc(east*2147483648.0/180.0))*180.0/2147483648.0,6) lon_max, round(least(2147483647.0,trunc(south*2147483648.0/180.0))*180.0/2147483648.0,6) lat_min, round(least(2147483647.0,trunc(west*2147483648.0/180.0))*180.0/2147483648.0,6) lon_min from {_RECORDS}", "gpts")
+def parsed_records(spark, d):
+    """The same records read back from their bytes."""
+    fields = packed.records_of(F.col("record"))
+    return _records(spark, d).select("g", "x", "y", *[(F.round(c, 6) if name.startswith(("lat_m", "lon_m")) else c).alias(name) for name, c in fields.items()])
+
+
+_FILES = "(select c_nationkey%5 file, (c_nationkey//5)::int ord, printf('%08X',c_nationkey) nm, sum(floor(abs(c_acctbal))*4000)::bigint size from customer group by 1,2,3)"
+_LAID = f"""(select *, (f0+(1+sum(parts) over p)*512) dir, ceil((4096+(1+sum(parts) over p)*512)/block::double)::bigint*block data_start, coalesce(sum(n_blocks) over (partition by file order by ord rows between unbounded preceding and 1 preceding),0)::bigint earlier from
+    (select *, 4096 f0, ceil(size/block::double)::bigint n_blocks, greatest(1,ceil(ceil(size/block::double)/240.0))::bigint parts from
+    (select *, 512::bigint*(1::bigint<<greatest(6,least(12,ceil(log2((sum(size) over (partition by file)+4096+1048576)/33553920.0))))::int) block from {_FILES})) window p as (partition by file))"""
+
+
+def _files(spark, d) -> DataFrame:
+    by = table(spark, d, "customer").groupBy((F.col("c_nationkey") % 5).alias("file"), F.floor(F.col("c_nationkey") / 5).cast("int").alias("ord"), F.format_string("%08X", "c_nationkey").alias("name"))
+    return packed.file_layout(by.agg((F.sum(F.floor(F.abs("c_acctbal")) * 4000)).cast("long").alias("size")).withColumn("kind", F.lit("GMP")))
+
+
+@query(f"select file, ord, size, block, n_blocks, parts, data_start, (data_start//block+earlier)::bigint start_block from {_LAID}")
+def file_layout(spark, d):
+    """Block size, blocks and start of every subfile of some files."""
+    return _files(spark, d).select("file", "ord", "size", "block", "n_blocks", "parts", "data_start", "start_block")
+
+
+_NUMBERS = "array_to_string(list_transform(range(240), lambda i: case when i<{count} then printf('%02X',(({first}+i)%256)::bigint)||printf('%02X',(({first}+i)//256%256)::bigint) else 'FFFF' end),'')"
+
+
+@query(
+    f"""select file, ord, part, '01'||hex(nm)||hex('GMP')||{_le('case when part=0 then size else 0 end',4)}||'00'||{_le('part',1)}||repeat('00',14)||{_NUMBERS.format(count='n_blocks-part*240', first='data_start//block+earlier+part*240')} entry from (select *, unnest(range(parts)) part from {_LAID})
+    union all select file, -1, 0, '01'||repeat('20',11)||{_le('data_start',4)}||'0300'||repeat('00',14)||{_NUMBERS.format(count='data_start//block', first='0')} from (select distinct file, data_start, block from {_LAID})"""
+)
+def file_directory(spark, d):
+    """Directory entries of 512 bytes of some files."""
+    return packed.directory(_files(spark, d))
+
+
+@query(
+    """with recursive t as (select o_orderkey, year(o_orderdate)::bigint z, (o_custkey%180-90)::double lat, floor(o_totalprice)::bigint size from orders), zs as (select z, sum(size)::bigint v, count(*)::bigint n, row_number() over (order by z) r from t group by z), cap as (select (sum(v)//10+1)::bigint c from zs),
+    b as (select zs.*, c, case when v>c then ceil(v/c::double) else 1 end::bigint bands from zs, cap),
+    go as (select r, z, n, bands, case when bands>1 then 0 else v end used, 0::bigint g, bands nxt from b where r=1
+    union all select b.r, b.z, b.n, b.bands, case when b.bands>1 then 0 when go.used>0 and go.used+b.v<=b.c then go.used+b.v else b.v end, case when b.bands=1 and go.used>0 and go.used+b.v<=b.c then go.nxt-1 else go.nxt end, case when b.bands=1 and go.used>0 and go.used+b.v<=b.c then go.nxt-1 else go.nxt end+b.bands from go join b on b.r=go.r+1)
+    select o_orderkey, t.z, (g+case when bands>1 then floor((row_number() over (partition by t.z order by lat, o_orderkey)-1)/ceil(n/bands::double)) else 0 end)::int grp from t join go on go.z=t.z"""
+)
+def packed_groups(spark, d):
+    """Zooms packed under a cap, those above it in bands of latitude."""
+    o = table(spark, d, "orders")
+    rows = o.select("o_orderkey", F.year("o_orderdate").cast("long").alias("z"), (F.col("o_custkey") % 180 - 90).cast("double").alias("lat"), F.floor("o_totalprice").cast("long").alias("size"))
+    cap = (rows.agg(F.sum("size")).first()[0] or 0) // 10 + 1
+    return aggregate.packed_groups(rows, "size", "lat", ["o_orderkey"], cap).select("o_orderkey", "z", "grp")
+
+
+# -- more scalars and joins ------------------------------------------------------------------------
+
+
+@query("select id, (('0x'||substr(h,7,2)||substr(h,5,2)||substr(h,3,2)||substr(h,1,2))::bigint & 2147483647)::bigint map_id from (select id, md5('layer'||id||':'||printf('%.6f',n)||','||printf('%.6f',s)||','||printf('%.6f',w)||','||printf('%.6f',e)) h from boxes)", "boxes")
+def map_ids(spark, d):
+    """Map ids from names and bounds."""
+    name = F.concat(F.lit("layer"), F.col("id").cast("string"))
+    return rel.boxes(spark, d).select("id", scalars.map_id(name, F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("map_id"))
+
+
+@query("select o_orderkey, case " + " ".join(f"when d>={least} then {z}" for z, least in enumerate([500000000, 200000000, 100000000, 50000000, 20000000, 10000000, 5000000, 2000000, 1000000, 500000, 200000, 100000, 50000, 20000, 10000, 5000, 2000, 1000, 500, 200, 100])) + " else 21 end as zoom from (select o_orderkey, floor(pow(o_totalprice, 1+o_orderkey%7/10.0)/(1+o_orderkey%13*50))::bigint d from orders)")
+def scale_zooms(spark, d):
+    """Zooms of scale denominators."""
+    k = F.col("o_orderkey")
+    scale = F.floor(F.pow("o_totalprice", 1 + k % 7 / 10.0) / (1 + k % 13 * 50)).cast("long")
+    return table(spark, d, "orders").select("o_orderkey", scalars.zoom_of_scale(scale).alias("zoom"))
+
+
+@query(
+    """select c_custkey, case c_custkey%4 when 0 then k//65536 when 1 then least(255,k%300) when 2 then [255,0,255][c_custkey%3+1] end::int red, case c_custkey%4 when 0 then k//256%256 when 1 then 0 when 2 then [0,255,255][c_custkey%3+1] end::int green,
+    case c_custkey%4 when 0 then k%256 when 1 then 7 when 2 then [255,255,0][c_custkey%3+1] end::int blue from (select c_custkey, c_custkey*7919%16777216 k from customer)"""
+)
+def colours(spark, d):
+    """Colours from hex, lists and names; what is none is null."""
+    i, k = F.col("c_custkey"), F.col("c_custkey") * 7919 % 16777216
+    text = F.when(i % 4 == 0, F.concat(F.lit("#"), F.lpad(F.hex(k), 6, "0"))).when(i % 4 == 1, F.concat((k % 300).cast("string"), F.lit(", -3, 7, 9"))).when(i % 4 == 2, F.element_at(F.array(F.lit("Magenta"), F.lit("cyan"), F.lit("YELLOW")), (i % 3 + 1).cast("int"))).otherwise("none such")
+    c = scalars.colour(text)
+    return table(spark, d, "customer").select("c_custkey", c[0].alias("red"), c[1].alias("green"), c[2].alias("blue"))
+
+
+@query(
+    f"""select o_orderkey, case when v<128 then printf('%02X',v*2+1) when v<8192 then printf('%02X',(v%64)*4+2)||printf('%02X',v//64) end as varint, case when v<8192 then v end back, {_le('-v', 3)} small,
+    {_le('year(o_orderdate)', 2)}||printf('%02X',month(o_orderdate))||printf('%02X',day(o_orderdate))||printf('%02X',hour(o_orderdate))||printf('%02X',minute(o_orderdate))||printf('%02X',second(o_orderdate)::bigint)||'00' date7 from (select *, (o_orderkey*7919%10007)::bigint v from orders)"""
+)
+def number_bytes(spark, d):
+    """Numbers and dates in bytes, and back."""
+    v = (F.col("o_orderkey") * 7919 % 10007).cast("long")
+    code = scalars.varint(v)
+    return table(spark, d, "orders").select("o_orderkey", code.alias("varint"), scalars.varint_value(code).alias("back"), scalars.little(-v, 3).alias("small"), scalars.date7(F.col("o_orderdate")).alias("date7"))
+
+
+@query(
+    f"""select id, x, round(x*s-20037508.342789244,3) left_m, round(20037508.342789244-(y+1)*s,3) bottom_m, round(s/256,6) px, round((lon-(x/512.0*360.0-180.0))/(360.0/512.0)*256,3) pixel_x from (select id, lon, {_x('lon','9')} x, {_y('lat','9')} y, 40075016.68557849/512.0 s from gpts)""",
+    "gpts",
+)
+def tile_metres(spark, d):
+    """Metres of tiles, the size of their pixels, and the pixel of a point."""
+    z = F.lit(9)
+    p = rel.world_points(spark, d).withColumns({"x": tile.tile_x(F.col("lon"), z), "y": tile.tile_y(F.col("lat"), z)})
+    m, b = tile.tile_metres(F.col("x"), F.col("y"), z), tile.tile_bounds(F.col("x"), F.col("y"), z)
+    px = tile.pixel(F.col("lon"), F.col("lat"), b["lon_min"], b["lat_min"], b["lon_max"], b["lat_max"])["px"]
+    return p.select("id", "x", F.round(m["left_m"], 3).alias("left_m"), F.round(m["bottom_m"], 3).alias("bottom_m"), F.round(m["px"], 6).alias("px"), F.round(px, 3).alias("pixel_x"))
+
+
+@query("select l_suppkey, l_orderkey, l_linenumber, l_quantity, piece from lineitem join (select s_suppkey, i piece, 10.0*i low, 10.0*i+7+i%2*3 high from supplier, (select unnest(range(6)) i)) on l_suppkey=s_suppkey and l_quantity>=low and l_quantity<high")
+def interval_join(spark, d):
+    """Lines in the half-open interval that holds them, by an as-of match."""
+    spans = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("piece"))
+    spans = spans.withColumn("low", F.col("piece") * 10.0).withColumn("high", F.col("low") + 7 + F.col("piece") % 2 * 3)
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return spatial.in_intervals(rows, spans, ["l_suppkey"], "l_quantity").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "piece")
+
+
+@query("select id, regexp_matches(n12,'^[0-9a-f]{12}$') is_hash, case when id%2=0 then 3857 end code, 'a='||id||',b=x' filt, ['${q}'] open_names from (select id, substr(md5(id::varchar),1,12-(id%2)::int) n12 from pts)", "pts")
+def name_scalars(spark, d):
+    """Old folder names, codes of reference systems, filters as names, and placeholders that are left."""
+    i = F.col("id")
+    name = F.substring(F.md5(i.cast("string").cast("binary")), F.lit(1), (12 - i % 2).cast("int"))
+    urn = F.when(i % 2 == 0, "urn:ogc:def:crs:EPSG::3857").otherwise("urn:ogc:def:crs:OGC:1.3:CRS84")
+    rows = rel.points(spark, d)
+    return rows.select("id", scalars.is_hash_name(name).alias("is_hash"), scalars.epsg(urn).alias("code"), scalars.filter_name(F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), i.cast("string"))).alias("filt"), scalars.unresolved(F.lit("a/${q}/{z}/$k")).alias("open_names"))
+
+
+@query("select z, x, y, size, path is null as absent from (select distinct 7 z, {x} x, {y} y from gpts) left join (select distinct 7 z, {x} x, {y} y, 'p' path, 10::bigint size from pts) c using (z, x, y)".replace("select z, x, y, size,", "select z, x, y, coalesce(size,99)::bigint size,").replace("{x}", _x("lon", "7")).replace("{y}", _y("lat", "7")), "gpts", "pts")
+def tile_metadata(spark, d):
+    """Tiles with what their cached file has, or a default size."""
+    at = lambda df: df.select(F.lit(7).alias("z"), tile.tile_x(F.col("lon"), F.lit(7)).alias("x"), tile.tile_y(F.col("lat"), F.lit(7)).alias("y")).distinct()
+    cached = at(rel.points(spark, d)).withColumns({"path": F.lit("p"), "size": F.lit(10).cast("long")})
+    return grid.metadata(at(rel.world_points(spark, d)), cached, 99).select("z", "x", "y", "size", F.col("path").isNull().alias("absent"))
+
+
+@query("select c_nationkey, name, value, allowed from (select c_nationkey, unnest([{'name':'files','value':count(*)::bigint,'allowed':%d::bigint},{'name':'bytes','value':sum(floor(abs(c_acctbal)))::bigint,'allowed':%d::bigint}], recursive:=true) from customer group by 1) where value>allowed" % (55, 250000))
+def limit_violations(spark, d):
+    """Limits that files exceed."""
+    files = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("files"), F.sum(F.floor(F.abs("c_acctbal"))).alias("bytes"))
+    return aggregate.violations(files, {"files": 55, "bytes": 250000}, ["c_nationkey"])
+
+
+@query("select p_size, \"at\", step from (select p_size, v as \"at\", lead(v) over (partition by p_size order by v)-v step from (select distinct p_size, p_partkey v from part)) s join (select p_size, avg(step) m from (select p_size, lead(v) over (partition by p_size order by v)-v step from (select distinct p_size, p_partkey v from part)) group by 1) using (p_size) where step>m*1.5")
+def step_gaps(spark, d):
+    """Gaps between neighbours that exceed one and a half times the average step."""
+    return spatial.gaps(table(spark, d, "part"), "p_size", "p_partkey").select("p_size", "at", "step")
