@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\s*(?:(?P<op>!=|>=|<=|[|&!()=~<>])|(?P<quoted>\"[^\"]*\"|'[^']*')|(?P<word>[^\s|&!()=~<>\"']+))")
+_SQL_TOKEN = re.compile(r"(?P<quoted>\"[^\"]*\"?|'[^']*'?)|(?P<op>!=|<>|>=|<=|=|>|<)|(?P<word>[^\s\"'=!<>]+)")
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 COMPARISONS = ("=", "!=", "~", ">", "<", ">=", "<=")
 
@@ -108,12 +109,39 @@ def parse(text: str):
 
 
 def parse_sql_like(text: str):
-    """The other front-end: "tag" op value, joined by AND and OR; ELSE, empty text and functions match everything."""
-    if not text or text.strip().upper() == "ELSE" or "$" in text:
+    """The other front-end: "tag" op value, joined by AND and, weaker, OR; a tag alone tests its presence.
+
+    ELSE, empty text, functions such as $length, and comparisons by size with what is no number
+    match everything.
+    """
+    words = [(m["op"] or m["word"] or m["quoted"][1:-1], m["quoted"] is None) for m in _SQL_TOKEN.finditer(text or "")]
+    if not words or (len(words) == 1 and words[0][0].upper() == "ELSE"):
         return EVERYTHING
-    text = re.sub(r"(?i)\s+AND\s+", " & ", text)
-    text = re.sub(r"(?i)\s+OR\s+", " | ", text)
-    return parse(text.replace("<>", "!="))
+
+    def split(some: list, word: str) -> list[list]:
+        out: list[list] = [[]]
+        for token, bare in some:
+            if bare and token.upper() == word:
+                out.append([])
+            else:
+                out[-1].append((token, bare))
+        return out
+
+    def test(some: list):
+        if len(some) == 1:
+            return Test(some[0][0], "exists")
+        if len(some) < 3 or some[0][0].startswith("$"):
+            return EVERYTHING
+        tag, op, value = (token for token, _ in some[:3])
+        op = "!=" if op == "<>" else op
+        if op not in ("=", "!=") and not (op in COMPARISONS and re.match(_NUMBER, value)):
+            return EVERYTHING
+        return Test(tag, op, value)
+
+    def many(op: str, parts: list):
+        return parts[0] if len(parts) == 1 else Many(op, tuple(parts))
+
+    return many("|", [many("&", [test(part) for part in split(group, "AND")]) for group in split(words, "OR")])
 
 
 def compiled(node, attrs: Column) -> Column:
