@@ -35,8 +35,14 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Write ``df`` as a table of the warehouse, dealt by ``key``: a join or grouping by it moves no row of it again."""
+    """Write ``df`` as a table of the shared folder, dealt by ``key``: a join or grouping by it moves no row of it again.
+
+    The catalog knows the table only while it is written; what is returned reads its files.
+    """
     spark = df.sparkSession
     name = f"tilequarry_{uuid.uuid4().hex}"
-    df.write.bucketBy(min(buckets, 100_000), key).option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    df.write.bucketBy(min(buckets, 100_000), key).option("compression", "none").option("path", f"{folder(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # the plan is resolved before the name goes; an external table's files stay
+    spark.sql(f"drop table {name}")
+    return out
