@@ -559,14 +559,14 @@ def interval_join(spark, d):
     return spatial.in_intervals(rows, spans, ["l_suppkey"], "l_quantity").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "piece")
 
 
-@query("select id, regexp_matches(n12,'^[0-9a-f]{12}$') is_hash, case when id%2=0 then 3857 end code, 'a='||id||',b=x' filt, ['${q}'] open_names from (select id, substr(md5(id::varchar),1,12-(id%2)::int) n12 from pts)", "pts")
+@query("select id, regexp_matches(n12,'^[0-9a-f]{12}$') is_hash, case when id%2=0 then 3857 end code, 'a='||id||',b=x' filt, '${q}' open_names from (select id, substr(md5(id::varchar),1,12-(id%2)::int) n12 from pts)", "pts")
 def name_scalars(spark, d):
     """Old folder names, codes of reference systems, filters as names, and placeholders that are left."""
     i = F.col("id")
     name = F.substring(F.md5(i.cast("string").cast("binary")), F.lit(1), (12 - i % 2).cast("int"))
     urn = F.when(i % 2 == 0, "urn:ogc:def:crs:EPSG::3857").otherwise("urn:ogc:def:crs:OGC:1.3:CRS84")
     rows = rel.points(spark, d)
-    return rows.select("id", scalars.is_hash_name(name).alias("is_hash"), scalars.epsg(urn).alias("code"), scalars.filter_name(F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), i.cast("string"))).alias("filt"), scalars.unresolved(F.lit("a/${q}/{z}/$k")).alias("open_names"))
+    return rows.select("id", scalars.is_hash_name(name).alias("is_hash"), scalars.epsg(urn).alias("code"), scalars.filter_name(F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), i.cast("string"))).alias("filt"), F.array_join(scalars.unresolved(F.lit("a/${q}/{z}/$k")), ",").alias("open_names"))
 
 
 @query("select z, x, y, size, path is null as absent from (select distinct 7 z, {x} x, {y} y from gpts) left join (select distinct 7 z, {x} x, {y} y, 'p' path, 10::bigint size from pts) c using (z, x, y)".replace("select z, x, y, size,", "select z, x, y, coalesce(size,99)::bigint size,").replace("{x}", _x("lon", "7")).replace("{y}", _y("lat", "7")), "gpts", "pts")
