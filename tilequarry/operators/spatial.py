@@ -14,38 +14,62 @@ def overlaps(a: str, b: str) -> Column:
     return (c(f"{a}.w") <= c(f"{b}.e")) & (c(f"{a}.e") >= c(f"{b}.w")) & (c(f"{a}.s") <= c(f"{b}.n")) & (c(f"{a}.n") >= c(f"{b}.s"))
 
 
-def _cells(df: DataFrame, degrees: float) -> DataFrame:
-    """Each box once for every cell of a grid in degrees that it touches, with its first cell."""
-    low = lambda name: F.floor(F.col(name) / degrees).cast("long")
-    df = df.withColumns({"_cx0": low("w"), "_cy0": low("s")})
-    return df.withColumn("_cx", F.explode(F.sequence(F.col("_cx0"), low("e")))).withColumn("_cy", F.explode(F.sequence(F.col("_cy0"), low("n"))))
+#: Smallest and largest power of two that is the side of a cell, in degrees; the largest holds the world.
+FINEST, COARSEST = -20, 9
 
 
-def overlap_join(left: DataFrame, right: DataFrame, degrees: float = 10.0) -> DataFrame:
-    """Pairs of boxes (id, w, s, e, n) that overlap: left_id, right_id, each pair once.
+def _level(df: DataFrame) -> Column:
+    """The smallest power of two that is no less than both sides of a box: it touches four cells of that side at most."""
+    side = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"), F.lit(2.0**FINEST))
+    return F.least(F.lit(COARSEST), F.ceil(F.log2(side)).cast("int"))
 
-    A pair shares at least one cell; it is kept only in the cell that holds the corner where their
-    common part starts, so no distinct is needed.
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that boxes have, 30 numbers at most."""
+    return sorted(r[0] for r in df.select(_level(df).alias("l")).distinct().collect() if r[0] is not None)
+
+
+def _cell(name: str, level: str) -> Column:
+    return F.floor(F.col(name) / F.pow(F.lit(2.0), F.col(level))).cast("long")
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    """Each box once for every cell of its level ``_l`` that it touches, with the first of them; a box turned round (w > e, s > n) touches none."""
+    df = df.where((F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n"))).withColumns({"_cx0": _cell("w", "_l"), "_cy0": _cell("s", "_l")})
+    return df.withColumn("_cx", F.explode(F.sequence(F.col("_cx0"), _cell("e", "_l")))).withColumn("_cy", F.explode(F.sequence(F.col("_cy0"), _cell("n", "_l"))))
+
+
+def _met(fine: DataFrame, coarse: DataFrame, equal: bool) -> DataFrame:
+    """Pairs (fine box, coarse box) that overlap, the coarse one of a larger level, or of an equal one too."""
+    above = F.filter(F.array(*map(F.lit, _levels(coarse))).cast("array<int>"), lambda x: x >= F.col("_own") if equal else x > F.col("_own"))
+    a = _cells(fine.withColumn("_own", _level(fine)).withColumn("_l", F.explode(above))).alias("a")
+    b = _cells(coarse.withColumn("_l", _level(coarse))).alias("b")
+    here = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_l", "_cx", "_cy")]
+    first = [F.col(f"a.{c}") == F.greatest(F.col(f"a.{c}0"), F.col(f"b.{c}0")) for c in ("_cx", "_cy")]
+    return a.join(b, [*here, *first, overlaps("a", "b")]).select(F.col("a.id").alias("_fine"), F.col("b.id").alias("_coarse"))
+
+
+def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of boxes (id, w, s, e, n) that overlap: left_id, right_id, each pair once; boxes with null edges or turned round meet none.
+
+    Boxes lie in cells of a grid of their own size, four at most, so a crowd of small boxes is spread
+    as finely as they are small. A pair meets on the grid of its larger box, and is kept only in the
+    cell that holds the corner where their common part starts, so no distinct is needed.
     """
-    a, b = _cells(left, degrees).alias("a"), _cells(right, degrees).alias("b")
-    met = a.join(b, (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & overlaps("a", "b"))
-    here = (F.col("a._cx") == F.greatest(F.col("a._cx0"), F.col("b._cx0"))) & (F.col("a._cy") == F.greatest(F.col("a._cy0"), F.col("b._cy0")))
-    return met.where(here).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+    one = _met(left, right, True).select(F.col("_fine").alias("left_id"), F.col("_coarse").alias("right_id"))
+    return one.unionByName(_met(right, left, False).select(F.col("_coarse").alias("left_id"), F.col("_fine").alias("right_id")))
 
 
-def first_overlap(left: DataFrame, right: DataFrame, degrees: float = 10.0) -> DataFrame:
+def first_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """For every left box the overlapping right box of the smallest id, or null."""
-    first = overlap_join(left, right, degrees).groupBy("left_id").agg(F.min("right_id").alias("right_id"))
+    first = overlap_join(left, right).groupBy("left_id").agg(F.min("right_id").alias("right_id"))
     return left.select(F.col("id").alias("left_id")).join(first, "left_id", "left")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, degrees: float = 10.0) -> DataFrame:
+def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Points (id, lon, lat) inside boxes (id, w, s, e, n), edges included: point_id, box_id. A point on a shared edge is in both."""
-    cell = lambda name: F.floor(F.col(name) / degrees).cast("long")
-    p = points.withColumns({"_cx": cell("lon"), "_cy": cell("lat")}).alias("p")
-    b = _cells(boxes, degrees).alias("b")
-    inside = F.col("p.lon").between(F.col("b.w"), F.col("b.e")) & F.col("p.lat").between(F.col("b.s"), F.col("b.n"))
-    return p.join(b, (F.col("p._cx") == F.col("b._cx")) & (F.col("p._cy") == F.col("b._cy")) & inside).select(F.col("p.id").alias("point_id"), F.col("b.id").alias("box_id"))
+    own = points.select("id", F.col("lon").alias("w"), F.col("lat").alias("s"), F.col("lon").alias("e"), F.col("lat").alias("n"))
+    return _met(own, boxes, True).select(F.col("_fine").alias("point_id"), F.col("_coarse").alias("box_id"))
 
 
 def feature_tiles(features: DataFrame, zoom: int) -> DataFrame:
@@ -55,15 +79,28 @@ def feature_tiles(features: DataFrame, zoom: int) -> DataFrame:
     return grid.grid(features.withColumn("z", F.lit(zoom))).select("id", "z", "x", "y")
 
 
-def coarser_fallback(wanted: DataFrame, available: DataFrame, most: int = 22) -> DataFrame:
+#: The finest zoom whose tiles, 4**8 at most, are broadcast when ancestors are looked up.
+BROADCAST_ZOOM = 8
+
+
+def coarser_fallback(wanted: DataFrame, available: DataFrame) -> DataFrame:
     """For every wanted tile (z, x, y) the finest available tile that contains it, itself included, or null: z, x, y, found_z.
 
-    Ancestors are generated (a row a zoom) and met by an equi-join, so no range condition is left.
+    Ancestors are generated (a row for each zoom that is available) and met by an equi-join, so no
+    range condition is left. Zooms up to BROADCAST_ZOOM, where many tiles share an ancestor, have 87,381
+    tiles at most; they are broadcast, so no shared ancestor gathers rows in one task.
     """
-    up = wanted.select("z", "x", "y").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.col("z"), F.lit(most)))))
-    up = up.withColumns({"_z": F.col("z") - F.col("k"), "_x": tile.parent(F.col("x"), F.col("k")), "_y": tile.parent(F.col("y"), F.col("k"))})
+    zooms = sorted(r[0] for r in available.select("z").distinct().collect() if r[0] is not None)
+    own = wanted.select("z", "x", "y").distinct()
+    if not zooms:
+        return own.withColumn("found_z", F.lit(None).cast("int"))
+    above = F.filter(F.array(*map(F.lit, zooms)), lambda k: k <= F.col("z"))
+    up = own.withColumn("_z", F.explode_outer(above))
+    up = up.withColumns({f"_{c}": tile.parent(F.col(c), F.col("z") - F.col("_z")) for c in ("x", "y")})
     have = available.select(F.col("z").alias("_z"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.lit(1).alias("_there")).distinct()
-    met = up.join(have, ["_z", "_x", "_y"], "left")
+    low = F.coalesce(F.col("_z"), F.lit(0)) <= BROADCAST_ZOOM
+    on = ["_z", "_x", "_y"]
+    met = up.where(low).join(F.broadcast(have.where(low)), on, "left").unionByName(up.where(~low).join(have.where(~low), on, "left"))
     return met.groupBy("z", "x", "y").agg(F.max(F.when(F.col("_there") == 1, F.col("_z"))).alias("found_z"))
 
 

@@ -148,11 +148,16 @@ def bbox_join(spark, d):
     return spatial.overlap_join(b, b)
 
 
-@query("select a.id left_id, min(b.id) right_id from boxes a left join boxes b on a.w<=b.e and a.e>=b.w and a.s<=b.n and a.n>=b.s and b.id%3=0 group by 1", "boxes")
+@query("select a.id left_id, b.id right_id from parcels a join sheets b on a.w<=b.e and a.e>=b.w and a.s<=b.n and a.n>=b.s", "parcels", "sheets")
+def crowded_join(spark, d):
+    """Small and large boxes of one small region that overlap."""
+    return spatial.overlap_join(rel.parcels(spark, d), rel.sheets(spark, d))
+
+
+@query("select a.id left_id, min(b.id) right_id from parcels a left join sheets b on a.w<=b.e and a.e>=b.w and a.s<=b.n and a.n>=b.s group by 1", "parcels", "sheets")
 def first_overlap(spark, d):
-    """For every box the first of the overlapping ones of a list, or null."""
-    b = rel.boxes(spark, d)
-    return spatial.first_overlap(b, b.where("id % 3 = 0"))
+    """For every box the first of the overlapping ones of another relation, or null."""
+    return spatial.first_overlap(rel.parcels(spark, d), rel.sheets(spark, d))
 
 
 @query("select g.id point_id, b.id box_id from gpts g join boxes b on g.lon between b.w and b.e and g.lat between b.s and b.n", "gpts", "boxes")
@@ -178,11 +183,10 @@ def asof_zoom(spark, d):
     return spatial.as_of(table(spark, d, "part").select("p_partkey", "p_size"), [5, 10, 20, 35], "p_size")
 
 
-@query("select p.id point_id, arg_min(c.id, (pow(p.lon-c.lon,2)+pow(p.lat-c.lat,2), c.id)) centre_id, round(min(pow(p.lon-c.lon,2)+pow(p.lat-c.lat,2)),9) dist2 from pts p, (select * from pts where id%50=7) c group by 1", "pts")
+@query("select p.id point_id, arg_min(c.id, (pow(p.lon-c.lon,2)+pow(p.lat-c.lat,2), c.id)) centre_id, round(min(pow(p.lon-c.lon,2)+pow(p.lat-c.lat,2)),9) dist2 from pts p, centres c group by 1", "pts", "centres")
 def nearest_centre(spark, d):
-    """The nearest of some centres for every point, through growing squares of cells."""
-    p = rel.points(spark, d)
-    return spatial.nearest(p, p.where("id % 50 = 7"), 0.25).select("point_id", "centre_id", r9(F.col("dist2")).alias("dist2"))
+    """The nearest centre of every point, through growing squares of cells."""
+    return spatial.nearest(rel.points(spark, d), rel.centres(spark, d), 0.25).select("point_id", "centre_id", r9(F.col("dist2")).alias("dist2"))
 
 
 # -- summaries and packing -------------------------------------------------------------------------
@@ -285,11 +289,12 @@ def file_blocks(spark, d):
     return layout.placed(files, "n_nationkey", "sz", 4096).select("n_nationkey", "sz", "n_blocks", "first_block", "parts")
 
 
-@query("select coalesce(a.l_orderkey,b.l_orderkey) l_orderkey, case when b.l_orderkey is null then 'LEFT_ONLY' when a.l_orderkey is null then 'RIGHT_ONLY' when abs(a.v-b.v)<=1e-6 then 'OK' else 'DIFF' end status, a.v left_value, b.v right_value from (select l_orderkey, max(l_quantity) v from lineitem where l_linenumber%2=0 group by 1) a full join (select l_orderkey, max(l_quantity) v from lineitem where l_linenumber%3=0 group by 1) b on a.l_orderkey=b.l_orderkey")
+@query("select coalesce(a.k,b.k) as number, case when b.k is null then 'LEFT_ONLY' when a.k is null then 'RIGHT_ONLY' when abs(a.v-b.v)<=1e-6 then 'OK' else 'DIFF' end status, a.v left_value, b.v right_value from (select l_partkey k, max(l_linenumber)::double v from lineitem group by 1) a full join (select c_custkey k, (c_nationkey%8)::double v from customer) b on a.k=b.k")
 def structure_diff(spark, d):
-    """A full outer comparison of two decoded files."""
-    side = lambda k: table(spark, d, "lineitem").where(F.col("l_linenumber") % k == 0).groupBy("l_orderkey").agg(F.max("l_quantity").alias("v"))
-    return layout.compared(side(2), side(3), ["l_orderkey"], ["v"]).drop("field")
+    """A full outer comparison of two tables of numbered values."""
+    left = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("number")).agg(F.max("l_linenumber").cast("double").alias("v"))
+    right = table(spark, d, "customer").select(F.col("c_custkey").alias("number"), (F.col("c_nationkey") % 8).cast("double").alias("v"))
+    return layout.compared(left, right, ["number"], ["v"]).drop("field")
 
 
 # -- catalogs --------------------------------------------------------------------------------------
