@@ -75,6 +75,25 @@ def test_neighbours_in_many_cells(spark, monkeypatch):
     assert share >= 0.9
 
 
+def test_copies_of_one_row(spark, monkeypatch):
+    """A third of all rows one row, and an id with two vectors: its query is the smaller one, copies are candidates each."""
+    from tilequarry.llm import ann
+
+    monkeypatch.setattr(ann, "SLAB", 100)
+    monkeypatch.setattr(ann, "LEAF", 16)
+    x = np.random.default_rng(8).standard_normal((400, 8))
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(1000, [9.0] * 8)] * 200 + [(20, [-5.0] * 8)]
+    shape = "vec_id bigint, embedding array<double>"
+    got = ann.search(spark.createDataFrame(rows, shape).repartition(7)).collect()
+    of = lambda q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+    smaller = min([x[19].tolist(), [-5.0] * 8])
+    want = sorted(((-float(np.dot(v, smaller)), i) for i, v in rows if i != 20))[:20]
+    assert [i for i, _ in of(20)] == [i for _, i in want]
+    aligned = next(q for q in range(40, 401, 20) if sum(x[q - 1]) > 2)
+    assert of(aligned) == [(1000, pytest.approx(9 * sum(x[aligned - 1])))] * 20
+    assert len(of(1000)) == 20 and 1000 not in dict(of(1000))
+
+
 def test_neighbours_of_awkward_rows(spark):
     from tilequarry.llm import ann
 

@@ -155,8 +155,8 @@ def search(rows: DataFrame, is_query: Column | None = None, k: int = 20) -> Data
     """The ``k`` best rows by inner product for every query among rows(vec_id, embedding): query_id, rank, vec_id, score.
 
     Queries are the rows whose id is divisible by 20 unless ``is_query`` says otherwise; a row is
-    no candidate for a query of its own id; repeated rows are candidates each, and one query.
-    Scores are exact sums in double precision; ties go to the smaller id. All candidates come
+    no candidate for a query of its own id; repeated rows are candidates each, and one query: of
+    rows that share an id, the one with the smallest vector by its components in order. Scores are exact sums in double precision; ties go to the smaller id. All candidates come
     back if fewer than ``k``; an empty table gives an empty result; other columns are ignored.
     """
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
@@ -172,19 +172,23 @@ def search(rows: DataFrame, is_query: Column | None = None, k: int = 20) -> Data
     nodes = _cells(_projected(_vectors(sample["embedding"]), top, matrix), cells) if sample is not None and sample.num_rows else [0]
 
     def dealt(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cell and projection of each row, and its number in this task, which deals copies of one row to all slabs of their cell."""
+        seen = 0
         for batch in stream:
             if batch.num_rows:
                 y = _projected(_vectors(batch.column("embedding")), top, matrix)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(_cell_of(nodes, y)), pa.array(y.tolist(), pa.list_(pa.float64()))], names=["vec_id", "embedding", "cell", "y"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(_cell_of(nodes, y)), pa.array(y.tolist(), pa.list_(pa.float64())), pa.array(np.arange(seen, seen + batch.num_rows))], names=["vec_id", "embedding", "cell", "y", "nth"])
+                seen += batch.num_rows
 
-    placed = scratch.store(own.mapInArrow(dealt, "vec_id bigint, embedding array<double>, cell int, y array<double>"), "cells")
+    placed = scratch.store(own.mapInArrow(dealt, "vec_id bigint, embedding array<double>, cell int, y array<double>, nth bigint"), "cells")
     extremes = [f(F.col("y")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(DIMS)]
     boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *extremes).orderBy("cell").collect()
     slabs = {r["cell"]: -(-r["n"] // SLAB) for r in boxes}
     count = F.element_at(F.create_map(*[F.lit(v) for pair in slabs.items() for v in pair]), F.col("cell")) if slabs else F.lit(1)
-    slab = F.concat_ws("/", F.col("cell").cast("string"), F.pmod(F.xxhash64("vec_id", "embedding"), count).cast("string"))
+    slab = F.concat_ws("/", F.col("cell").cast("string"), F.pmod(F.xxhash64("vec_id", "nth"), count).cast("string"))
     data = placed.select("vec_id", "embedding", slab.alias("slab"))
-    queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding", "cell").dropDuplicates(["query_id"])
+    smallest = F.min(F.struct("embedding", "cell")).alias("q")
+    queries = placed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(smallest).select("query_id", "q.embedding", "q.cell")
     queries = scratch.store(queries, "queries")
     low, high = (np.array([[r[f"{name}{i}"] for i in range(DIMS)] for r in boxes]).reshape(-1, DIMS) for name in ("low", "high"))
     names = [r["cell"] for r in boxes]
