@@ -214,3 +214,33 @@ def source_type(explicit: Column, url: Column) -> Column:
         F.when(explicit != "", explicit),
         F.when(url.rlike(r"\{(" + "|".join(TILE_VARIABLES) + r")\}"), "wmts").when(url.rlike("/(collections|stac)/"), "stac").when(url.rlike(r"^(\./|\.\./|/)") | ~url.contains("://"), "path"),
     )
+
+
+def hex_dump(data: Column, width: int = 16) -> Column:
+    """Bytes as lines of an offset, ``width`` bytes in hexadecimal and the same as text, '.' for what cannot be printed; '' without bytes."""
+    digits, text = F.lower(F.hex(data)), F.regexp_replace(F.decode(data, "ISO-8859-1"), r"[^ -~]", ".")
+
+    def line(i: Column) -> Column:
+        own = F.regexp_replace(F.substring(digits, i * (2 * width) + 1, F.lit(2 * width)), "(..)(?=.)", "$1 ")
+        return F.concat(F.lpad(F.lower(F.hex(i * width)), 4, "0"), F.lit("  "), F.rpad(own, 3 * width, " "), F.lit("  "), F.substring(text, i * width + 1, F.lit(width)))
+
+    last = F.ceil(F.octet_length(data) / width).cast("int") - 1
+    return F.when(last < 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), line), "\n"))
+
+
+def type_code(text: Column) -> Column:
+    """A type's number, written in decimal or with 0x in hexadecimal; null if it is neither."""
+    low = F.lower(F.trim(text))
+    return F.when(low.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(low, F.lit(3), F.length(low)), 16, 10).cast("int")).when(low.rlike("^[0-9]+$"), low.try_cast("int"))
+
+
+def item_folder(source: Column, url: Column, item: Column, asset_filter: Column | None = None) -> Column:
+    """The folder of a catalog's item in the cache: its source, the address's key with the filter, and the item without slashes."""
+    extra = None if asset_filter is None else filter_name(asset_filter)
+    return F.concat_ws("/", F.lit("cache"), source, cache_key(url, extra), F.translate(item, "/\\", "__"))
+
+
+def needs_warp(exists: Column, code: Column, target: Column, paletted: Column, bands: Column, fresh_copy: Column) -> Column:
+    """Whether a raster has to be warped: it is there, has no fresh warped copy, and differs from the target, has a palette or too few bands."""
+    ready = F.coalesce((code == target) & ~paletted & (bands >= 3), F.lit(False))
+    return exists & ~ready & ~F.coalesce(fresh_copy, F.lit(False))

@@ -76,6 +76,22 @@ def box_around(lon: Column, lat: Column, width_km: Column, height_km: Column) ->
     return {"west": lon - dx, "south": lat - dy, "east": lon + dx, "north": lat + dy}
 
 
+def middle(west: Column, south: Column, east: Column, north: Column) -> dict[str, Column]:
+    """lon, lat of the middle of a box."""
+    return {"lon": (west + east) / 2.0, "lat": (south + north) / 2.0}
+
+
+def within(inner: tuple[Column, Column, Column, Column], outer: tuple[Column, Column, Column, Column]) -> Column:
+    """Whether a box (west, south, east, north) lies in another, edges included; true if the other has none."""
+    (w, s, e, n), (ow, os, oe, on) = inner, outer
+    return F.coalesce((w >= ow) & (s >= os) & (e <= oe) & (n <= on), F.lit(True))
+
+
+def may_overlap(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
+    """Whether two boxes overlap, touching edges included; true where bounds are unknown, so that nothing is lost."""
+    return F.coalesce((a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1]), F.lit(True))
+
+
 def pixel(lon: Column, lat: Column, west: Column, south: Column, east: Column, north: Column, size: int = 256) -> dict[str, Column]:
     """px, py of a point in a tile's image, linear in degrees; (0, 0) where the bounds have no extent."""
     flat = (east <= west) | (north <= south)

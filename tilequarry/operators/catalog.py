@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilequarry.functions import scalars
+
 
 def last_wins(rows: DataFrame, key: list[str], precedence: list[str]) -> DataFrame:
     """One row a key, the one of the highest precedence; max_by combines before the shuffle, which a window would not."""
@@ -68,3 +70,36 @@ def freshest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key by an order."""
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def typed(rules: DataFrame, types: DataFrame) -> DataFrame:
+    """Rules(id, kind, value, code) with the code and the finest and coarsest level of types(value, type, low, high).
+
+    An exact rule takes the type of its value, a wildcard that of '*', others none; a rule's own
+    code stays and has no levels from here. ``types`` is a style's map, one row a value.
+    """
+    key = F.when(F.col("kind") == "exact", F.col("value")).when(F.col("kind") == "wildcard", F.lit("*"))
+    named = types.select(F.col("value").alias("_key"), scalars.type_code(F.col("type")).alias("_code"), F.coalesce("low", F.lit(16)).alias("_low"), F.coalesce("high", F.lit(24)).alias("_high"))
+    met = rules.withColumn("_want", F.when(F.col("code").isNull(), key)).join(named, F.col("_want") == F.col("_key"), "left")
+    return met.select("id", F.coalesce("code", "_code").alias("code"), F.col("_low").alias("low"), F.col("_high").alias("high"))
+
+
+def stacks(tiles: DataFrame, layers: DataFrame, rasters: DataFrame) -> DataFrame:
+    """The rasters to composite for every tile(z, x, y), by pos: those of layers(pos, zooms) that have the zoom; what has no raster is left out.
+
+    Rasters(z, x, y, pos, ...) are cut to the layers' zooms first (pairs of a layer and a zoom), so
+    no tile is multiplied by its layers.
+    """
+    used = layers.select("pos", F.explode("zooms").alias("z")).distinct()
+    return rasters.join(used, ["pos", "z"], "left_semi").join(tiles.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
+
+
+def first_records(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows by an order; a filter on the result comes after the limit and is not moved before it."""
+    return rows.orderBy(*order).limit(n)
+
+
+def record_stats(records: DataFrame, group: list[str], image: str) -> DataFrame:
+    """Records and distinct images by group. Equal images of a group are counted together before the shuffle."""
+    once = records.groupBy(*group, image).agg(F.count(F.lit(1)).alias("_n"))
+    return once.groupBy(*group).agg(F.sum("_n").cast("long").alias("records"), F.count(image).alias("images"))

@@ -41,6 +41,12 @@ def first_children(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(firsts), "level", "left")
 
 
+def level_numbers(rows: DataFrame, group: list[str], zoom: str, top: int = 24) -> DataFrame:
+    """Add level: the finest zoom of a group is ``top``, each coarser one is one less. Groups are the few zooms of a map."""
+    w = Window.partitionBy(*group).orderBy(F.desc(zoom))
+    return rows.withColumn("level", top + 1 - F.row_number().over(w))
+
+
 def zoom_codes(levels: DataFrame) -> DataFrame:
     """Codes of levels(level, has_tiles): N-1-place, with 0x80 on leading levels without tiles (if none has any, on the first only)."""
     w = Window.partitionBy(F.lit(0)).orderBy("level")

@@ -501,6 +501,81 @@ def packed_groups(spark, d):
     return aggregate.packed_groups(rows, "size", "lat", ["o_orderkey"], cap).select("o_orderkey", "z", "grp")
 
 
+# -- checks, dumps and styles ----------------------------------------------------------------------
+
+_BYTES = "substr(md5(p_name)||md5(p_brand),1,2*(p_partkey%25)::int)"
+
+
+@query(
+    f"""select p_partkey, n, case when n=0 then '' else array_to_string(list_transform(range((n+15)//16), lambda i: printf('%04x',i*16)||'  '||rpad(array_to_string(list_transform(range(least(16,n-i*16)), lambda j: substr(h,(i*32+j*2+1)::int,2)),' '),48,' ')||'  '||
+    array_to_string(list_transform(range(least(16,n-i*16)), lambda j: case when ('0x'||substr(h,(i*32+j*2+1)::int,2))::int between 32 and 126 then chr(('0x'||substr(h,(i*32+j*2+1)::int,2))::int) else '.' end),'')),chr(10)) end dump from (select p_partkey, p_partkey%25 n, {_BYTES} h from part)"""
+)
+def hex_dumps(spark, d):
+    """Bytes as lines of offset, hexadecimal and text."""
+    n = F.col("p_partkey") % 25
+    digits = F.substring(F.concat(F.md5(F.col("p_name").cast("binary")), F.md5(F.col("p_brand").cast("binary"))), F.lit(1), (n * 2).cast("int"))
+    return table(spark, d, "part").select("p_partkey", n.alias("n"), scalars.hex_dump(F.unhex(digits)).alias("dump"))
+
+
+@query("select o_custkey, zoom, (24-(count(*) over (partition by o_custkey)-row_number() over (partition by o_custkey order by zoom)))::int as level from (select distinct o_custkey, year(o_orderdate)::int zoom from orders)")
+def level_numbers(spark, d):
+    """Levels of zooms, the finest of every map being 24."""
+    zooms = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("zoom")).distinct()
+    return layout.level_numbers(zooms, ["o_custkey"], "zoom")
+
+
+_TYPES = "(select v, case when v<'Brand#3' then ('0x'||substr(md5(v),1,2))::int else length(v) end c from (select distinct p_brand v from part) where substr(md5(v),1,1)<'c' union all select '*', 31)"
+
+
+@query(f"select p_partkey id, coalesce(own, c)::int code, case when c is not null then 16 end::int low, case when c is not null then 24 end::int high from (select p_partkey, case when p_partkey%5=0 then 7 end own, case when p_partkey%5<>0 then case p_partkey%3 when 0 then p_brand when 1 then '*' end end want from part) left join {_TYPES} on want=v")
+def typed_rules(spark, d):
+    """Rules with the types of their values."""
+    k, brand = F.col("p_partkey"), F.col("value")
+    rules = table(spark, d, "part").select(k.alias("id"), F.element_at(F.array(*map(F.lit, ("exact", "wildcard", "any"))), (k % 3 + 1).cast("int")).alias("kind"), F.col("p_brand").alias("value"), F.when(k % 5 == 0, 7).alias("code"))
+    digest = F.md5(brand.cast("binary"))
+    none = F.lit(None).cast("int")
+    types = rules.select("value").distinct().where(F.substring(digest, 1, 1) < "c").select("value", F.when(brand < "Brand#3", F.concat(F.lit("0x"), F.substring(digest, 1, 2))).otherwise(F.length(brand).cast("string")).alias("type"), none.alias("low"), none.alias("high"))
+    return catalog.typed(rules, types.unionByName(spark.range(1).select(F.lit("*").alias("value"), F.lit("0x1F").alias("type"), none.alias("low"), none.alias("high"))))
+
+
+@query(f"select distinct t.z, t.x, t.y, r.pos from ({_grid_sql('5,6')}) t join (select z, id%5 pos, {_x('lon','z')} x, {_y('lat','z')} y from gpts, (select unnest([5,6]) z)) r on t.z=r.z and t.x=r.x and t.y=r.y join region on r_regionkey=r.pos and (t.z=5 or r_regionkey%2=1)", "boxes", "gpts")
+def layer_stacks(spark, d):
+    """The rasters of every tile of some boxes, by layers that have its zoom."""
+    tiles = grid.grid(grid.zooms(rel.boxes(spark, d), [5, 6]))
+    layers = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("pos"), F.when(F.col("r_regionkey") % 2 == 1, F.array(F.lit(5), F.lit(6))).otherwise(F.array(F.lit(5))).alias("zooms"))
+    at = grid.zooms(rel.world_points(spark, d), [5, 6])
+    rasters = at.select("z", tile.tile_x(F.col("lon"), F.col("z")).alias("x"), tile.tile_y(F.col("lat"), F.col("z")).alias("y"), (F.col("id") % 5).alias("pos")).distinct()
+    return catalog.stacks(tiles, layers, rasters).select("z", "x", "y", "pos")
+
+
+@query("select l_suppkey, count(*)::bigint records, count(distinct l_partkey)::bigint images from lineitem group by 1")
+def record_stats(spark, d):
+    """Records and distinct images of every file."""
+    return catalog.record_stats(table(spark, d, "lineitem").select("l_suppkey", "l_partkey"), ["l_suppkey"], "l_partkey")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, sz from (select * from tile_sizes order by l_orderkey, l_linenumber, l_partkey, l_suppkey, sz limit 1000) where sz>30000", "tile_sizes")
+def limited_export(spark, d):
+    """The large ones of the first thousand records: the limit is the feature and comes before the filter."""
+    return catalog.first_records(rel.tile_sizes(spark, d), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "sz"], 1000).where("sz > 30000")
+
+
+@query(
+    """select p.id, round((p.w+p.e)/2,9) lon, round((p.s+p.n)/2,9) lat, coalesce(p.w>=x.w and p.s>=x.s and p.e<=x.e and p.n<=x.n, true) inside, coalesce(p.w<=x.e and p.e>=x.w and p.s<=x.n and p.n>=x.s, true) keep,
+    p.id%9<>0 and not (coalesce(case when p.id%4=0 then 3857 when p.id%4=1 then 4326 end=4326, false) and p.id%5<>0 and p.id%6>=3) and p.id%7<>0 warp from parcels p left join sheets x on x.id=p.id""",
+    "parcels", "sheets",
+)
+def box_checks(spark, d):
+    """Middles of boxes, whether they lie in or may meet another box, and whether a raster needs warping; unknown bounds pass."""
+    box = lambda *names: tuple(F.col(n) for n in names)
+    other = rel.sheets(spark, d).select("id", *[F.col(c).alias(f"o{c}") for c in "wsen"])
+    own, outer, k = box("w", "s", "e", "n"), box("ow", "os", "oe", "on"), F.col("id")
+    mid = tile.middle(*own)
+    code = F.when(k % 4 == 0, 3857).when(k % 4 == 1, 4326)
+    warp = scalars.needs_warp(k % 9 != 0, code, F.lit(4326), k % 5 == 0, k % 6, k % 7 == 0)
+    return rel.parcels(spark, d).join(other, "id", "left").select("id", r9(mid["lon"]).alias("lon"), r9(mid["lat"]).alias("lat"), tile.within(own, outer).alias("inside"), tile.may_overlap(own, outer).alias("keep"), warp.alias("warp"))
+
+
 # -- more scalars and joins ------------------------------------------------------------------------
 
 
