@@ -110,11 +110,15 @@ def _numbers(first: Column, count: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(layout.CHAIN - 1)), lambda i: F.when(i < count, scalars.little(first + i, 2)).otherwise(F.lit(f"{UNUSED:04X}"))), "")
 
 
-def directory(placed: DataFrame) -> DataFrame:
-    """Directory entries of files laid out: file, ord, part, entry (512 bytes, as hex); ord -1 is the entry of header and directory itself."""
+def directory(placed: DataFrame, clamp: bool = True) -> DataFrame:
+    """Directory entries of files laid out: file, ord, part, entry (512 bytes, as hex); ord -1 is the entry of header and directory itself.
+
+    A subfile of 4 GiB or more shows the largest number that four bytes hold or, without ``clamp``, its size's lowest four bytes.
+    """
     part = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     used = F.col("part") * layout.CHAIN
-    shown = F.when(F.col("part") == 0, F.least(F.col("size"), F.lit(0xFFFFFFFF))).otherwise(F.lit(0).cast("long"))
+    size = F.least(F.col("size"), F.lit(0xFFFFFFFF)) if clamp else F.col("size")
+    shown = F.when(F.col("part") == 0, size).otherwise(F.lit(0).cast("long"))
     entry = F.concat(F.lit("01"), _padded(F.col("name"), 8), _padded(F.col("kind"), 3), scalars.little(shown, 4), F.lit("00"), scalars.little(F.col("part"), 1), F.lit("00" * 14), _numbers(F.col("start_block") + used, F.col("n_blocks") - used))
     rows = part.select("file", "ord", "part", entry.alias("entry"))
     heads = placed.groupBy("file").agg(F.first("data_start").alias("data_start"), F.first("block").alias("block"))
