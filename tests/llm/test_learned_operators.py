@@ -178,6 +178,34 @@ def test_dense_near_duplicates(spark, monkeypatch, sizes):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter(components(rows))
 
 
+def chain(seed):
+    """Two linked texts (2 and 3), each with another, heavier partner below the threshold that draws it away in the first turn."""
+    import random
+
+    pick = random.Random(seed)
+    fresh = lambda n: [f"w{pick.randrange(10**9)}" for _ in range(n)]
+    new = lambda of, at, size: of[:at] + fresh(size) + of[at + size :]
+    one = fresh(200)
+    two = new(one, 0, 42)
+    three = new(two, 60, 22)
+    four = new(three, 100, 42)
+    docs = [one, two, three, four] + [new(one, at, 42) for at in range(50, 150, 12)] + [new(four, at, 42) for at in (*range(0, 60, 12), *range(142, 160, 5))]
+    return [(i + 1, " ".join(words)) for i, words in enumerate(docs)]
+
+
+@pytest.mark.parametrize("seed", [12, 26])
+def test_buckets_of_two_that_no_turn_compared(spark, seed):
+    """A link is found although both ends' best hubs are others and no larger bucket holds them."""
+    from tilequarry.llm import neardup
+
+    rows = chain(seed)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = components(rows)
+    assert want[2][2:] == (2, False)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.dedup(docs).collect()) == Counter(want)
+    assert sorted(r.doc_id for r in neardup.survivors(docs).collect()) == sorted(r[0] for r in want if r[3])
+
+
 def plain_margin(tree, row):
     at = 0
     while not isinstance(tree[at], float):

@@ -8,8 +8,9 @@ registers' order discards what is far from similar, and full sets decide.
 
 Documents of equal sets form one class, which is one node. A bucket's hub is the member that meets
 most others in all its buckets, the likely original of a group. In each of TURNS turns a node is
-compared with one hub: the best of its buckets' hubs that it is not linked with yet. Members that
-are still apart afterwards meet through their rarest shingles, which is exact: families of nodes
+compared with one hub: the best of its buckets' hubs that it is not linked with yet. What is
+still apart afterwards is compared whatever the turns left out: the two nodes of a bucket of two
+directly, members of larger buckets through their rarest shingles, which is exact: families of nodes
 that such shingles tie together are compared in place, block by block, and return a forest of
 links. So no stage makes a row for each pair of a dense group. A pair at the threshold meets in
 none of the 72 buckets with a probability of 1e-6.
@@ -342,6 +343,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def pairs_left(buckets: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Pairs a, b, na, nb of the buckets of two that are apart and whose pair no turn has compared."""
+    two = buckets.where((F.col("size") == 2) & _size_fits(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb").distinct()
+    if tried is None:
+        return two
+    known = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return two.join(known, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+
+
 def _size_fits(a, b):
     return F.least(a, b) * 100 >= F.greatest(a, b) * SHARE
 
@@ -362,7 +372,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = full_sets(cands, keyed)
     sized = scratch.store(cands.select(F.col("node").alias("_node"), "n", "weight"), "sized")
     met = scratch.store(met.join(_small(sized), F.col("node") == F.col("_node")).select("key", "node", "n", "weight"), "weighted")
-    links = pairs = comps = None
+    links = pairs = comps = tried = None
     now = met.withColumn("comp", F.col("node"))
     for turn in range(TURNS):
         hub = F.max_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("weight").alias("hub_weight")), F.struct("weight", -F.col("node")))
@@ -377,7 +387,9 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         first = F.col("node") < F.col("hub")
         pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))  # noqa: B023, E731
         ordered = fresh.select(pick("node", "hub").alias("a"), pick("hub", "node").alias("b"), pick("n", "hub_n").alias("na"), pick("hub_n", "n").alias("nb")).distinct()
-        more = compared(screened(scratch.store(ordered, "pairs"), cands, "spokes"), full, "spokes")
+        ordered = scratch.store(ordered, "pairs")
+        more = compared(screened(ordered, cands, "spokes"), full, "spokes")
+        tried = ordered if tried is None else tried.unionByName(ordered)
         pairs = fresh if pairs is None else pairs.unionByName(fresh)
         links = more if links is None else links.unionByName(more)
         if not more.limit(1).count():
@@ -385,10 +397,15 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         comps = components(links)
         of = comps.select(F.col("node").alias("_node"), "comp")
         now = met.join(of, F.col("node") == F.col("_node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("_node")
-    if comps is None:
-        comps = components(classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    span = now.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most and size > 2")
-    apart = scratch.store(now.join(span, F.col("key") == F.col("_key")).groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "apart")
+    ends = {"a": F.min("node"), "b": F.max("node"), "na": F.min_by("n", "node"), "nb": F.max_by("n", "node")}
+    span = now.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"), *[c.alias(name) for name, c in ends.items()])
+    span = scratch.store(span.where("least < most").drop("least", "most"), "span")
+    found = []
+    left = scratch.store(pairs_left(span, tried), "left")
+    if left.limit(1).count():
+        found.append(compared(screened(left, cands, "left"), full, "left"))
+    wide = span.where("size > 2").select("_key")
+    apart = scratch.store(now.join(wide, F.col("key") == F.col("_key")).groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "apart")
     if apart.limit(1).count():
         placed = prefixes(apart, full.join(apart.select("node"), "node", "left_semi"))
         of = scratch.store(families(placed), "families")
@@ -397,9 +414,14 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if large.limit(1).count():
             rest = scratch.store(placed.join(large.select("node"), "node", "left_semi"), "large")
             more = more.unionByName(compared(scratch.store(prefix_pairs(rest), "chords"), full, "chords")).unionByName(prefix_links(rest, full))
-        more = scratch.store(more, "more-links")
-        if more.limit(1).count():
-            comps = components(more if links is None else links.unionByName(more))
+        found.append(scratch.store(more, "more-links"))
+    found = [more for more in found if more.limit(1).count()]
+    if found:
+        for more in found:
+            links = more if links is None else links.unionByName(more)
+        comps = components(links)
+    if comps is None:
+        comps = components(classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
     return rows.drop("sketch"), comps
 
 
