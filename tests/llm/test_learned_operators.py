@@ -266,3 +266,13 @@ def test_toxicity_is_calibrated_at_every_size(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     _, model = toxicity.fit(docs, labels)
     assert model.knots is not None
+
+
+def test_pipeline_stage_finds_links_of_buckets_of_two(spark, tmp_path):
+    """The pipeline's near_dedup keeps one text of a group whose only link no turn compares."""
+    import corpus_pipeline
+
+    rows = chain(12)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r[0] for r in rows} - {3}
