@@ -48,3 +48,25 @@ def test_ancestors_on_both_sides_of_the_broadcast(spark):
     want = [(z, x, y, max((k for k in range(z + 1) if (k, x >> (z - k), y >> (z - k)) in have), default=None)) for z, x, y in wanted]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert spatial.coarser_fallback(spark.createDataFrame([(3, 1, 1)], tiles), spark.createDataFrame([], tiles)).where(F.col("found_z").isNull()).count() == 1
+
+
+def crowd(seed, many, width, height, start=0):
+    """Boxes of one small region."""
+    pick = random.Random(seed)
+    out = []
+    for i in range(many):
+        w, s = pick.uniform(6, 10), pick.uniform(46, 48)
+        out.append((start + i, w, s, w + width * pick.random(), s + height * pick.random()))
+    return out
+
+
+def test_crowded_boxes_meet_in_small_cells(spark):
+    """Candidate pairs follow the pairs that overlap, not the square of what lies in a region."""
+    small, large = crowd(5, 3000, 0.05, 0.02), crowd(6, 1500, 0.3, 2.0)
+    want = sorted((a[0], b[0]) for a in small for b in large if meet(a, b))
+    one, two = spark.createDataFrame(small, BOX), spark.createDataFrame(large, BOX)
+    assert sorted(map(tuple, spatial.overlap_join(one, two).collect())) == want
+    assert sorted(tuple(r)[::-1] for r in spatial.overlap_join(two, one).collect()) == want
+    fine, coarse = (df.groupBy("_l", "_cx", "_cy").count() for df in spatial._sides(one, two, True))
+    both = fine.join(coarse.withColumnRenamed("count", "n"), ["_l", "_cx", "_cy"])
+    assert both.agg(F.sum(F.col("count") * F.col("n"))).first()[0] < 4 * len(want)

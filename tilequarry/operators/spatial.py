@@ -14,37 +14,93 @@ def overlaps(a: str, b: str) -> Column:
     return (c(f"{a}.w") <= c(f"{b}.e")) & (c(f"{a}.e") >= c(f"{b}.w")) & (c(f"{a}.s") <= c(f"{b}.n")) & (c(f"{a}.n") >= c(f"{b}.s"))
 
 
-#: Smallest and largest power of two that is the side of a cell, in degrees; the largest holds the world.
+#: Smallest and largest power of two that is the side of a box's cell, in degrees; the largest holds the world.
 FINEST, COARSEST = -20, 9
+#: Most times that a cell is halved where boxes crowd, and the candidate pairs that are worth one more row.
+HALVINGS, ROW_COST = 6, 30
 
 
-def _level(df: DataFrame) -> Column:
+def _level() -> Column:
     """The smallest power of two that is no less than both sides of a box: it touches four cells of that side at most."""
     side = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"), F.lit(2.0**FINEST))
     return F.least(F.lit(COARSEST), F.ceil(F.log2(side)).cast("int"))
 
 
+def _upright(df: DataFrame) -> DataFrame:
+    """The boxes that can meet others, with their level ``_own``; those turned round (w > e, s > n) or with null edges cannot."""
+    return df.where((F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n"))).withColumn("_own", _level())
+
+
 def _levels(df: DataFrame) -> list[int]:
     """The levels that boxes have, 30 numbers at most."""
-    return sorted(r[0] for r in df.select(_level(df).alias("l")).distinct().collect() if r[0] is not None)
+    return sorted(r[0] for r in df.select("_own").distinct().collect() if r[0] is not None)
+
+
+def _side(halved: dict[int, int]) -> Column:
+    """The side of the cells on which boxes of the level ``_l`` meet."""
+    return F.element_at(F.create_map(*[F.lit(x) for level, times in halved.items() for x in (level, 2.0 ** (level - times))]), F.col("_l"))
+
+
+def _cells(df: DataFrame, halved: dict[int, int]) -> DataFrame:
+    """Each box once for every cell of the level ``_l`` that it touches, with the first of them."""
+    cell = lambda name: F.floor(F.col(name) / F.col("_side")).cast("long")
+    df = df.withColumn("_side", _side(halved)).withColumns({"_cx0": cell("w"), "_cy0": cell("s")})
+    return df.withColumn("_cx", F.explode(F.sequence("_cx0", cell("e")))).withColumn("_cy", F.explode(F.sequence("_cy0", cell("n"))))
+
+
+def _at_levels(fine: DataFrame, levels: list[int], equal: bool) -> DataFrame:
+    """Each fine box once for every level ``_l`` above its own, or for its own too."""
+    above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= F.col("_own") if equal else x > F.col("_own"))
+    return fine.withColumn("_l", F.explode(above))
+
+
+def _halved(fine: DataFrame, coarse: DataFrame, levels: list[int], equal: bool) -> dict[int, int]:
+    """How often to halve the cells of each level, by counts of boxes in its cells of their own size.
+
+    Halving divides the candidate pairs of a cell by four, as long as boxes are small against it, and
+    adds rows: those with the smallest sum of both are chosen. So scattered boxes stay in four cells.
+    """
+    w, h = (F.col("e") - F.col("w")) / F.pow(F.lit(2.0), F.col("_l")), (F.col("n") - F.col("s")) / F.pow(F.lit(2.0), F.col("_l"))
+
+    def counted(df: DataFrame, side: str) -> DataFrame:
+        at = [F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_l"))).cast("long").alias(f"{side}{c}") for c in ("w", "s")]
+        return df.select(F.col("_l").alias(f"{side}l"), *at, w.alias("x"), h.alias("y")).groupBy(f"{side}l", f"{side}w", f"{side}s").agg(F.count(F.lit(1)).alias(f"{side}n"), F.sum(F.col("x") + F.col("y")).alias(f"{side}sides"), F.sum(F.col("x") * F.col("y")).alias(f"{side}area"))
+
+    a, b = counted(_at_levels(fine, levels, equal), "a"), counted(coarse.withColumn("_l", F.col("_own")), "b")
+    sums = [F.sum(c).cast("double").alias(c) for c in ("an", "asides", "aarea", "bn", "bsides", "barea")]
+    met = a.join(b, [F.col(f"a{c}") == F.col(f"b{c}") for c in ("l", "w", "s")]).groupBy("al").agg(F.sum(F.col("an").cast("double") * F.col("bn")).alias("pairs"), *sums)
+    out = dict.fromkeys(levels, 0)
+    for r in met.collect():
+
+        def cost(k: int) -> float:
+            rows = [r[f"{s}n"] + 2.0**k * r[f"{s}sides"] + 4.0**k * r[f"{s}area"] for s in "ab"]  # noqa: B023
+            return r["pairs"] * (rows[0] / r["an"]) * (rows[1] / r["bn"]) / 4.0**k + ROW_COST * sum(rows)  # noqa: B023
+
+        out[r["al"]] = min(range(HALVINGS + 1), key=cost)
+    return out
 
 
-def _cell(name: str, level: str) -> Column:
-    return F.floor(F.col(name) / F.pow(F.lit(2.0), F.col(level))).cast("long")
+def _sides(fine: DataFrame, coarse: DataFrame, equal: bool) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides in the cells where they meet; none if a side is empty."""
+    fine, coarse = _upright(fine.select("id", "w", "s", "e", "n")), _upright(coarse.select("id", "w", "s", "e", "n"))
+    levels = _levels(coarse)
+    if not levels:
+        return None
+    halved = _halved(fine, coarse, levels, equal)
+    return _cells(_at_levels(fine, levels, equal), halved), _cells(coarse.withColumn("_l", F.col("_own")), halved)
 
 
-def _cells(df: DataFrame) -> DataFrame:
-    """Each box once for every cell of its level ``_l`` that it touches, with the first of them; a box turned round (w > e, s > n) touches none."""
-    df = df.where((F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n"))).withColumns({"_cx0": _cell("w", "_l"), "_cy0": _cell("s", "_l")})
-    return df.withColumn("_cx", F.explode(F.sequence(F.col("_cx0"), _cell("e", "_l")))).withColumn("_cy", F.explode(F.sequence(F.col("_cy0"), _cell("n", "_l"))))
+_HERE = ("_l", "_cx", "_cy")
 
 
 def _met(fine: DataFrame, coarse: DataFrame, equal: bool) -> DataFrame:
     """Pairs (fine box, coarse box) that overlap, the coarse one of a larger level, or of an equal one too."""
-    above = F.filter(F.array(*map(F.lit, _levels(coarse))).cast("array<int>"), lambda x: x >= F.col("_own") if equal else x > F.col("_own"))
-    a = _cells(fine.withColumn("_own", _level(fine)).withColumn("_l", F.explode(above))).alias("a")
-    b = _cells(coarse.withColumn("_l", _level(coarse))).alias("b")
-    here = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_l", "_cx", "_cy")]
+    sides = _sides(fine, coarse, equal)
+    if sides is None:
+        return fine.join(coarse.select(F.col("id").alias("_coarse")), F.lit(False)).select(F.col("id").alias("_fine"), "_coarse")
+    # not broadcast: a few files' worth of one side would stream in a few tasks
+    a, b = sides[0].alias("a"), sides[1].hint("merge").alias("b")
+    here = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _HERE]
     first = [F.col(f"a.{c}") == F.greatest(F.col(f"a.{c}0"), F.col(f"b.{c}0")) for c in ("_cx", "_cy")]
     return a.join(b, [*here, *first, overlaps("a", "b")]).select(F.col("a.id").alias("_fine"), F.col("b.id").alias("_coarse"))
 
@@ -52,8 +108,8 @@ def _met(fine: DataFrame, coarse: DataFrame, equal: bool) -> DataFrame:
 def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of boxes (id, w, s, e, n) that overlap: left_id, right_id, each pair once; boxes with null edges or turned round meet none.
 
-    Boxes lie in cells of a grid of their own size, four at most, so a crowd of small boxes is spread
-    as finely as they are small. A pair meets on the grid of its larger box, and is kept only in the
+    Boxes lie in cells of a grid of their own size, four at most, or where they crowd in finer ones,
+    chosen by counts. A pair meets on the grid of its larger box, and is kept only in the
     cell that holds the corner where their common part starts, so no distinct is needed.
     """
     one = _met(left, right, True).select(F.col("_fine").alias("left_id"), F.col("_coarse").alias("right_id"))
