@@ -70,3 +70,16 @@ def test_crowded_boxes_meet_in_small_cells(spark):
     fine, coarse = (df.groupBy("_l", "_cx", "_cy").count() for df in spatial._sides(one, two, True))
     both = fine.join(coarse.withColumnRenamed("count", "n"), ["_l", "_cx", "_cy"])
     assert both.agg(F.sum(F.col("count") * F.col("n"))).first()[0] < 4 * len(want)
+
+
+def test_first_overlap_makes_few_pairs(spark, monkeypatch):
+    """The smallest id whichever side is larger, with few of the pairs made where the right one is."""
+    seen, plain = [], spatial._firsts
+    monkeypatch.setattr(spatial, "_firsts", lambda a, b: (seen.append(plain(a, b)), seen[-1])[1])
+    small, large = crowd(7, 2000, 0.05, 0.05), crowd(8, 1500, 1.5, 1.5, 5000)
+    for left, right in ((small, large), (large, small), (small + large, small + large)):
+        seen.clear()
+        got = spatial.first_overlap(spark.createDataFrame(left, BOX), spark.createDataFrame(right, BOX)).collect()
+        met = {a[0]: [b[0] for b in right if meet(a, b)] for a in left}
+        assert {r.left_id: r.right_id for r in got} == {k: min(v, default=None) for k, v in met.items()}
+        assert left is not small or sum(df.count() for df in seen) < sum(map(len, met.values())) / 2

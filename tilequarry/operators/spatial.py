@@ -116,10 +116,51 @@ def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.unionByName(_met(right, left, False).select(F.col("_coarse").alias("left_id"), F.col("_fine").alias("right_id")))
 
 
+def _covers() -> Column:
+    """Whether a box covers its cell, edges included: then it overlaps whatever touches the cell."""
+    x, y, side = F.col("_cx"), F.col("_cy"), F.col("_side")
+    return (F.col("w") <= x * side) & (F.col("e") >= (x + 1) * side) & (F.col("s") <= y * side) & (F.col("n") >= (y + 1) * side)
+
+
+def _least_of(df: DataFrame) -> DataFrame:
+    return df.groupBy(*[F.col(c).alias(f"_k{c}") for c in _HERE]).agg(F.min("id").alias("_least"))
+
+
+def _cell_of(least: DataFrame, df: DataFrame, how: str) -> DataFrame:
+    return df.join(least.hint("merge"), [F.col(c) == F.col(f"_k{c}") for c in _HERE], how)
+
+
 def first_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For every left box the overlapping right box of the smallest id, or null."""
-    first = overlap_join(left, right).groupBy("left_id").agg(F.min("right_id").alias("right_id"))
-    return left.select(F.col("id").alias("left_id")).join(first, "left_id", "left")
+    """For every left box the overlapping right box of the smallest id, or null.
+
+    Pairs are not made only to be thrown away: of the right boxes that cover a cell only the smallest
+    id counts there, and of the others only ids below it; where a left box covers a cell, the
+    smallest id in it counts.
+    """
+    found = []
+    sides = _sides(left, right, True)
+    if sides is not None:
+        a, b = sides
+        b = _cell_of(_least_of(b.where(_covers())), b, "left").where(F.col("_least").isNull() | (F.col("id") <= F.col("_least")))
+        found.append(_firsts(a, b))
+    sides = _sides(right, left, False)
+    if sides is not None:
+        b, a = sides
+        found.append(_cell_of(_least_of(b), a.where(_covers()), "inner").select(F.col("id").alias("_left"), F.col("_least").alias("_right")))
+        found.append(_firsts(a.where(~_covers()), b))
+    own = left.select(F.col("id").alias("left_id"))
+    if not found:
+        return own.join(right.select(F.col("id").alias("right_id")), F.lit(False), "left")
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return own.join(pairs.groupBy(F.col("_left").alias("left_id")).agg(F.min("_right").alias("right_id")), "left_id", "left")
+
+
+def _firsts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """_left, _right: of the pairs that overlap in a cell."""
+    a, b = left.alias("a"), right.hint("merge").alias("b")
+    return a.join(b, [*[F.col(f"a.{c}") == F.col(f"b.{c}") for c in _HERE], overlaps("a", "b")]).select(F.col("a.id").alias("_left"), F.col("b.id").alias("_right"))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
