@@ -83,3 +83,27 @@ def test_first_overlap_makes_few_pairs(spark, monkeypatch):
         met = {a[0]: [b[0] for b in right if meet(a, b)] for a in left}
         assert {r.left_id: r.right_id for r in got} == {k: min(v, default=None) for k, v in met.items()}
         assert left is not small or sum(df.count() for df in seen) < sum(map(len, met.values())) / 2
+
+
+@pytest.mark.parametrize("degrees", [0.25, 64.0])
+def test_nearest_of_crowded_and_scattered_centres(spark, degrees):
+    """Copies, ties, a dense cluster and far points, against all pairs."""
+    pick = random.Random(9)
+    centres = [(i, 7 + pick.random() / 100, 46 + pick.random() / 100) for i in range(700)] + [(700 + i, pick.uniform(-180, 180), pick.uniform(-80, 80)) for i in range(60)]
+    centres += [(2000 + i, lon, lat) for i, lon, lat in centres[:50]] + [(3000, 1.0, 0.0), (3001, -1.0, 0.0), (3002, None, 1.0)]
+    points = [(i, pick.uniform(-180, 180), pick.uniform(-80, 80)) for i in range(80)] + [(100 + i, 7 + pick.random() / 90, 46 + pick.random() / 90) for i in range(150)] + [(500, 0.0, 0.0)]
+    table = "id long, lon double, lat double"
+    got = spatial.nearest(spark.createDataFrame([*points, (501, None, 2.0)], table), spark.createDataFrame(centres, table), degrees)
+    want = {p: min(((lon - x) ** 2 + (lat - y) ** 2, c) for c, x, y in centres if x is not None) for p, lon, lat in points}
+    rows = got.collect()
+    assert {r.point_id: r.centre_id for r in rows} == {p: c for p, (_, c) in want.items()} and len(rows) == len(points)
+    assert all(abs(r.dist2 - want[r.point_id][0]) < 1e-9 for r in rows)
+
+
+def test_nearest_makes_no_row_for_a_candidate(spark):
+    """On a crowd of centres, what is grouped by point is a few rows a point."""
+    pick = random.Random(10)
+    some = lambda n: spark.createDataFrame([(i, pick.uniform(6, 10), pick.uniform(46, 48)) for i in range(n)], "id long, lon double, lat double").repartition(4)
+    points, centres = some(300), some(4000)
+    plan = spatial.nearest(points, centres, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" in plan and "collect_list" in plan

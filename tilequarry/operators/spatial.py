@@ -234,31 +234,49 @@ def in_intervals(values: DataFrame, spans: DataFrame, by: list[str], at: str, lo
     return met.join(sided, on).select(*values.columns, *[F.col(f"_{c}").alias(c) for c in rest if c not in values.columns])
 
 
+#: Centres that a centre may share its cell with, on average, where the search for nearest ones starts, and centres of one list.
+CROWD, LISTED = 4, 256
+
+
 def nearest(points: DataFrame, centres: DataFrame, degrees: float = 1.0) -> DataFrame:
     """For every point (id, lon, lat) the nearest centre by squared degrees, ties to the smaller id: point_id, centre_id, dist2.
 
-    Cells grow fourfold from turn to turn. A point meets the centres of its own cell and the eight
-    around it and leaves once its best centre is no further than one cell, so a turn makes nine
-    rows a point that is left, however far the centres are. The last turn's one cell holds all.
+    Cells of ``degrees``, or a power of four of it, that suit how crowded the centres are, grow fourfold
+    from turn to turn. A centre is listed in its own cell and the eight around it, so a point looks into one
+    cell, and leaves once its best centre is no further than one cell. A candidate is an item of a list, never
+    a row; long lists are cut in parts. The last turn's cells hold all.
     """
-    todo = points.select(F.col("id").alias("point_id"), "lon", "lat")
-    c = centres.select(F.col("id").alias("centre_id"), F.col("lon").alias("clon"), F.col("lat").alias("clat"))
-    if not c.limit(1).count():
+    todo = points.select(F.col("id").alias("point_id"), "lon", "lat").where("lon is not null and lat is not null")
+    c = centres.where("lon is not null and lat is not null").groupBy(F.col("lon").alias("clon"), F.col("lat").alias("clat")).agg(F.min("id").alias("centre_id"))
+    sizes = [degrees * 4.0**i for i in range(-10, 1)]
+    while sizes[-1] < 1024:
+        sizes.append(sizes[-1] * 4)
+    at = lambda name, size: F.floor(F.col(name) / size).cast("long")
+    cells = c.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))).groupBy("_size", at("clon", F.col("_size")).alias("_x"), at("clat", F.col("_size")).alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    stats = {r["_size"]: r for r in cells.groupBy("_size").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("shared"), F.max("n").alias("most")).collect()}
+    if not stats:
         return todo.limit(0).select("point_id", F.lit(None).cast("long").alias("centre_id"), F.lit(None).cast("double").alias("dist2"))
-    done = None
-    while True:
-        cell = lambda name: F.floor(F.col(name) / degrees).cast("long")  # noqa: B023, E731
-        own = c.withColumns({"_cx": cell("clon"), "_cy": cell("clat")})
-        step = F.sequence(F.lit(-1), F.lit(1))
-        around = todo.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumns({"_cx": cell("lon") + F.col("_dx"), "_cy": cell("lat") + F.col("_dy")})
-        d2 = F.pow(F.col("lon") - F.col("clon"), 2) + F.pow(F.col("lat") - F.col("clat"), 2)
-        best = around.join(own, ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(d2.alias("dist2"), "centre_id")).alias("b")).select("point_id", "b.centre_id", "b.dist2")
-        sure = best.where((F.sqrt("dist2") <= degrees) | F.lit(degrees >= 1024))
-        done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(sure.select("point_id"), "point_id", "left_anti")
-        if degrees >= 1024 or not todo.limit(1).count():
-            return done.select("point_id", "centre_id", "dist2")
-        degrees *= 4
+    start = max([i for i, size in enumerate(sizes) if stats[size]["shared"] <= CROWD], default=0)
+    done, step = [], F.sequence(F.lit(-1), F.lit(1))
+    for size in sizes[start:]:
+        part = F.pmod(F.xxhash64("centre_id"), F.lit(-int(-9 * stats[size]["most"] // LISTED)))
+        around = c.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
+        listed = around.groupBy((at("clon", size) + F.col("_dx")).alias("_cx"), (at("clat", size) + F.col("_dy")).alias("_cy"), part.alias("_part")).agg(F.collect_list(F.struct("clon", "clat", "centre_id")).alias("_list"))
+        d2 = lambda x: F.pow(F.col("lon") - x["clon"], 2) + F.pow(F.col("lat") - x["clat"], 2)
+        own = F.array_min(F.transform("_list", lambda x: F.struct(d2(x).alias("dist2"), x["centre_id"].alias("centre_id"))))  # noqa: B023
+        met = todo.join(listed, (at("lon", size) == F.col("_cx")) & (at("lat", size) == F.col("_cy")), "left").select("point_id", "lon", "lat", own.alias("b"))
+        best = met.groupBy("point_id", "lon", "lat").agg(F.min("b").alias("b"))
+        last = size >= 1024
+        # a hair less than a cell, for cells whose edges are rounded
+        sure = F.col("b").isNotNull() & (F.lit(last) | (F.sqrt("b.dist2") <= size * (1 - 1e-9)))
+        done.append(best.where(sure))
+        todo = best.where(~sure).select("point_id", "lon", "lat")
+        if last or not todo.limit(1).count():
+            break
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", "b.centre_id", "b.dist2")
 
 
 def gaps(rows: DataFrame, group: str, value: str, factor: float = 1.5) -> DataFrame:
