@@ -1,6 +1,7 @@
 """Operators on DataFrame functions alone against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -210,6 +211,43 @@ def test_disclosing_terms_far_from_entities(spark):
     assert [i for i, t in clean.items() if "kontakt" in t.lower()] == [903] and clean[900] == f"{far}, {far}" and clean[903] == "kontakte <EMAIL>"
 
 
+def test_disclosing_terms_beyond_reach(spark, tmp_path):
+    """A term that never comes within REACH of an entity counts by its documents; others of such documents do not."""
+    import corpus_pipeline
+    from tilequarry.llm import pii
+
+    far = "alpha beta gamma delta omega rest of it " * 5
+    rows = [(i, f"Kontakt {far} person{i}@mail{i}.example.org {far}") for i in range(12)]
+    rows += [(100 + i, far) for i in range(200)] + [(900, f"{far} KONTAKT"), (901, "kontakte"), (902, None)]
+    rows += [(903, f"once only one document {far} a1@b.example.org a2@b.example.org a3@b.example.org a4@b.example.org a5@b.example.org")]
+    rows += [(1000 + i, f"copied {far} same@mail.example.org") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    told = {r.doc_id: [(x.s, x.e, x.m) for x in r.spans if x.k == 4] for r in pii.find(docs).collect()}
+    want = {i: [(m.start(), m.end(), "kontakt") for m in re.finditer(r"\bkontakt\b", t or "", re.I)] for i, t in rows}
+    assert told == want and sum(map(len, want.values())) == 13
+    clean = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs, str(tmp_path)).collect()}
+    assert clean[900] == f"{far} <TERM>" and clean[3] == f"<TERM> {far} <EMAIL> {far}" and all(clean[i] == t for i, t in rows if 100 <= i < 300 or i in (901, 902))
+
+
+def test_terms_outside_spans(spark, docs):
+    """The terms of a text outside its base spans, against runs of letters that no span touches."""
+    import unicodedata
+
+    from tilequarry.llm import pii
+
+    odd = [*TRICKY, "ürgen@mail.example.org ab+49 30 1234567 cd \ufffc x\ufffcy é1.2.3.4ü", "İstanbul a@b.cd ΟΔΟΣ"]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string"))
+    letter = lambda c: unicodedata.category(c).startswith("L")
+    for r in pii.found(both).select("text", "base", "far").collect():
+        hidden, runs, at = {k for x in r.base for k in range(x.s, x.e)}, set(), 0
+        for is_letter, run in itertools.groupby(r.text, letter):
+            size = len(list(run))
+            if is_letter and hidden.isdisjoint(range(at, at + size)):
+                runs.add(r.text[at : at + size].lower())
+            at += size
+        assert set(r.far) == (runs if r.base else set()) and len(r.far) == len(set(r.far))
+
+
 def test_sanitised_texts(odd_docs):
     from tilequarry.llm import pii
 

@@ -5,6 +5,7 @@ DataFrame functions alone. Spans are in code points, the end exclusive.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,11 +26,15 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
-#: Code points on either side of a protected entity in which terms count as near.
+#: Code points on either side of a protected entity in which terms count as near; any further term counts by documents.
 REACH = 64
-#: Different entities that a term must be near, and the shares of the most information that a term
-#: can give about an entity's presence from which on it is generalised or removed.
+#: Stands for the letters of base spans where only the words outside them are wanted.
+HIDDEN = "\ufffc"
+#: Different entities that a term must be near (or share documents with), and the shares of the most
+#: information that a term can give about an entity's presence from which on it is generalised or removed.
 MIN_ENTITIES, GENERALISE, REMOVE = 5, 0.9, 0.98
+#: Up to this many terms are broadcast to be counted; beyond, all words are counted first.
+SMALL = 50_000
 #: Up to this many disclosing terms are literals of the plan; beyond, texts meet them in a join.
 INLINE = 200
 _SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
@@ -113,15 +118,52 @@ def near_terms(text: Column, base: Column) -> Column:
     return F.when(F.size(base) > 0, clear).otherwise(F.array().cast("array<struct<s:int,e:int,term:string,ent:string>>"))
 
 
+def terms_of(text: Column) -> Column:
+    """The different runs of letters of a text, in lower case."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(text, r"[^\p{L}]+"), F.lower)), "")
+
+
+def clear_words(text: Column, base: Column) -> Column:
+    """The different terms outside all base spans, at any distance from them; none for a text without a span."""
+
+    def hide(now: Column, x: Column) -> Column:
+        size = x["e"] - x["s"]
+        return F.overlay(now, F.regexp_replace(F.substring(now, x["s"] + 1, size), r"\p{L}", HIDDEN), x["s"] + 1, size)
+
+    left = F.split(F.aggregate(base, F.translate(text, HIDDEN, " "), hide), rf"[^\p{{L}}{HIDDEN}]+")
+    whole = F.filter(left, lambda w: (w != "") & ~w.contains(HIDDEN))
+    return F.when(F.size(base) > 0, F.array_distinct(F.transform(whole, F.lower))).otherwise(F.array().cast("array<string>"))
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """row (a struct of the columns of ``docs``), text (a null empty), base and near of every document."""
+    """row (a struct of the columns of ``docs``), text (a null empty), base, near, far (all terms outside spans) and lead
+    (the smallest entity, null without any) of every document."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     df = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return df.withColumn("base", base_spans(F.col("text"))).withColumn("near", near_terms(F.col("text"), F.col("base")))
+    df = df.withColumn("base", base_spans(F.col("text"))).withColumn("near", near_terms(F.col("text"), F.col("base")))
+    lead = F.array_min(F.transform("base", lambda b: F.concat(b["k"].cast("string"), F.lit(":"), b["m"])))
+    return df.withColumns({"far": clear_words(F.col("text"), F.col("base")), "lead": lead})
+
 
+def disclosing(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """Terms that reveal entities, near them or anywhere in their documents: term, entities, near_n, n, bits, share.
+
+    ``own`` has the near, far and lead of every document with an entity. A term is judged by its
+    places within REACH of entities and, whatever its distance, by its documents; the larger share counts.
+    """
+    both = near_disclosing(docs, own).unionByName(far_disclosing(docs, own))
+    return both.groupBy("term").agg(F.max_by(F.struct("entities", "near_n", "n", "bits", "share"), "share").alias("x")).select("term", "x.*")
 
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """Terms that reveal entities: term, entities, near_n, n, bits, share.
+
+def _counts(spoken: DataFrame, known: DataFrame) -> DataFrame:
+    """How often each of known(_t) is spoken(_w): _t, n; all other words count for a null."""
+    if known.limit(SMALL + 1).count() <= SMALL:
+        return spoken.join(F.broadcast(known), F.col("_w") == F.col("_t"), "left").groupBy("_t").agg(F.count(F.lit(1)).alias("n"))
+    return spoken.groupBy("_w").agg(F.count(F.lit(1)).alias("n")).join(known, F.col("_w") == F.col("_t"), "left").groupBy("_t").agg(F.sum("n").alias("n"))
+
+
+def near_disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """Terms that reveal entities near them: term, entities, near_n, n, bits, share.
 
     ``near`` has the near of every document. A term's bits are the pointwise mutual information
     of "this token is the term" and "this token lies near an entity", over all tokens of the
@@ -135,20 +177,47 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     candidates = scratch.store(entities.join(counted, "term").select("term", "entities", "near_n"), "terms")
     near_total = candidates.agg(F.sum("near_n")).first()[0] or 0
     likely = candidates.where(F.col("entities") >= MIN_ENTITIES)
-    few = likely.count() <= 50_000
     spoken = docs.select(F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), r"[^\p{L}]+")).alias("_w")).where("_w <> ''").select(F.lower("_w").alias("_w"))
-    known = likely.select(F.col("term").alias("_t"))
-    if few:
-        counts = spoken.join(F.broadcast(known), F.col("_w") == F.col("_t"), "left").groupBy("_t").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        counts = spoken.groupBy("_w").agg(F.count(F.lit(1)).alias("n")).join(known, F.col("_w") == F.col("_t"), "left").groupBy("_t").agg(F.sum("n").alias("n"))
-    counts = scratch.store(counts, "term-counts")
+    counts = scratch.store(_counts(spoken, likely.select(F.col("term").alias("_t"))), "term-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     most = F.log2(F.lit(float(total)) / F.lit(float(max(near_total, 1))))
     bits = F.log2(F.col("near_n") / F.col("n")) + most
     return likely.join(counts, F.col("term") == F.col("_t")).select("term", "entities", "near_n", "n", bits.alias("bits"), F.when(most > 0, bits / most).otherwise(F.lit(0.0)).alias("share")).where(F.col("share") >= GENERALISE)
 
 
+def far_disclosing(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """Terms that reveal entities anywhere in their documents, in the columns of near_disclosing.
+
+    ``own`` has the far and lead of every document with an entity. A term's bits are the pointwise
+    mutual information of "this document has the term outside entities" and "this document has an
+    entity", over all documents; near_n and n count documents. A document stands for one entity, its
+    lead, so that a long one does not make all its words look telling. As all words of such
+    documents are tried, the frequency must be so far above the usual one that chance gives less than one such term
+    (Chernoff's bound). Where every document has an entity, no term says anything.
+    """
+    held = own.where(F.col("lead").isNotNull())
+    with_entity, every = held.count(), docs.count()
+    together = held.select(F.explode("far").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("near_n"))
+    likely = scratch.store(together.where(F.col("near_n") >= MIN_ENTITIES), "far-terms")
+    tried = likely.count()
+    if not tried or with_entity == every:
+        none = F.lit(0.0)
+        return likely.select("term", F.col("near_n").alias("entities"), "near_n", F.col("near_n").alias("n"), none.alias("bits"), none.alias("share")).limit(0)
+    spoken = docs.select(F.explode(terms_of(F.coalesce(F.col("text"), F.lit("")))).alias("_w"))
+    usual = with_entity / every
+    most = -math.log2(usual)
+    counts = _counts(spoken, likely.select(F.col("term").alias("_t")))
+    among = F.col("near_n") / F.col("n")
+    bits = F.log2(among) + most
+    rest = F.when(among < 1, (1 - among) * F.log2((1 - among) / (1 - usual))).otherwise(F.lit(0.0))
+    sure = F.col("n") * (among * bits + rest) >= math.log2(tried)
+    judged = likely.join(counts, F.col("term") == F.col("_t")).select("term", "near_n", "n", bits.alias("bits"), (bits / most).alias("share"), sure.alias("sure"))
+    judged = scratch.store(judged.where((F.col("share") >= GENERALISE) & F.col("sure")).drop("sure"), "far-judged")
+    met = held.select("lead", F.explode("far").alias("_t")).join(judged.select("term"), F.col("_t") == F.col("term"))
+    entities = met.groupBy(F.col("term").alias("_term")).agg(F.count_distinct("lead").alias("entities")).where(F.col("entities") >= MIN_ENTITIES)
+    return judged.join(entities, F.col("term") == F.col("_term")).select("term", "entities", "near_n", "n", "bits", "share")
+
+
 def with_told(df: DataFrame, terms: DataFrame) -> DataFrame:
     """Add told and gone, the disclosing terms and those to be removed, for found documents; null or empty where a text has none.
 
@@ -161,7 +230,7 @@ def with_told(df: DataFrame, terms: DataFrame) -> DataFrame:
         listed_terms = lambda keep: F.array(*[F.lit(r["term"]) for r in few if keep(r)]).cast(strings)
         return df.withColumns({"told": listed_terms(lambda r: True), "gone": listed_terms(lambda r: r["share"] >= REMOVE)})
     keyed = df.withColumn("key", F.xxhash64("text"))
-    words = keyed.select("key", F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}]+"), F.lower))).alias("word"))
+    words = keyed.select("key", F.explode(terms_of(F.col("text"))).alias("word"))
     met = words.join(terms.select("term", "share"), F.col("word") == F.col("term"))
     own = met.groupBy(F.col("key").alias("_key")).agg(F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
     return keyed.join(own, F.col("key") == F.col("_key"), "left").drop("key", "_key")
@@ -171,8 +240,10 @@ def all_spans() -> Column:
     """Base spans and every disclosing term of the text outside them, near an entity or not, by start, then kind."""
     told = located(F.col("text"), r"\p{L}+", 4, lambda m: F.array_contains("told", F.lower(m)))
     clear = F.filter(told, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    some = F.size(F.coalesce("told", F.array().cast("array<string>"))) > 0
+    spoken = some & F.arrays_overlap(terms_of(F.col("text")), F.col("told"))  # only texts that have such a term are searched
     both = F.sort_array(F.concat(F.col("base"), F.transform(clear, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lower(x["m"]).alias("m")))))
-    return F.when(F.size(F.coalesce(F.col("told"), F.array().cast("array<string>"))) > 0, both).otherwise(F.col("base"))
+    return F.when(spoken, both).otherwise(F.col("base"))
 
 
 def listed(spans: Column) -> Column:
@@ -187,7 +258,7 @@ def find(docs: DataFrame) -> DataFrame:
     A null text is empty; an empty table gives an empty result; other columns are ignored.
     """
     whole = found(docs.select("doc_id", "text"))
-    own = scratch.store(whole.select(F.col("row.doc_id").alias("doc_id"), "base", "near"), "pii")
+    own = scratch.store(whole.select(F.col("row.doc_id").alias("doc_id"), "base", "near", "far", "lead"), "pii")
     terms = scratch.store(disclosing(docs, own), "disclosing")
     if terms.limit(1).count():
         # terms are looked up in the texts, which are read again rather than stored
@@ -206,7 +277,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     column, follows the new text; other columns and texts without a span stay as they are.
     """
     df = found(docs)
-    terms = scratch.store(disclosing(docs, scratch.store(df.where(F.size("base") > 0).select("near"), "pii")), "disclosing")
+    terms = scratch.store(disclosing(docs, scratch.store(df.where(F.size("base") > 0).select("near", "far", "lead"), "pii")), "disclosing")
     df = with_told(df, terms).withColumn("spans", all_spans())
     start = F.struct(F.lit(0).alias("to"), _none().alias("out"))
     keep = lambda now, x: F.when(x["s"] >= now["to"], F.struct(x["e"].alias("to"), F.concat(now["out"], F.array(x)).alias("out"))).otherwise(now)
